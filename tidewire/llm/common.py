@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,7 +77,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def chunked(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+def chunked(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts of one hold about most_bytes at the most; a longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -86,7 +87,7 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) ->
         ends, first = np.cumsum(sizes), 0
         while first < batch.num_rows:
             base = ends[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, base + most_bytes, side="right")))
+            last = min(max(first + 1, int(np.searchsorted(ends, base + most_bytes, side="right"))), first + most_rows)
             yield batch.slice(first, last - first)
             first = last
 
@@ -107,3 +108,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def bounded_batches(spark: SparkSession, rows: int = 2048, size: str = "8m") -> None:
+    """Bound the Arrow batches of this session, so that a batch of long texts or large blobs fits a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

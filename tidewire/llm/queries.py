@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import mixing, secrets
-from tidewire.llm.common import table
+from tidewire.llm import chat, mixing, quality_classifier, quality_rules, secrets, topk
+from tidewire.llm.common import bounded_batches, table
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("quality_posterior")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,14 +17,34 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_mix_sources": op4_mix_sources,
     "op6_secret_scan": op6_secret_scan,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_exact_top_k": op8_exact_top_k,
+    "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.oracle_sql(),
     "op4_mix_sources": mixing.ORACLE_SQL,
+    "op8_exact_top_k": topk.ORACLE_SQL,
 }
