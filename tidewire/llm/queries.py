@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import chat, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, topk
+from tidewire.llm import chat, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, topk
 from tidewire.llm.common import bounded_batches, table
 
 
@@ -25,6 +25,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_top_k": op8_exact_top_k,
