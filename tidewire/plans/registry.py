@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tidewire.plans import catalog, fold_queries
+
+QUERIES = {**catalog.QUERIES, **fold_queries.QUERIES}
+ORACLE_SQL = dict(catalog.ORACLE_SQL)
