@@ -3,9 +3,9 @@
 Each text's set of 5-word shingles gets a signature of minwise tokens. Equal sets become one class at once, so copies
 are never compared. In each of several independent trees, documents branch by the minwise tokens at chosen coordinates
 (one or two per node, 1/threshold on average): documents that agree there meet in a child node. A node of at most
-SMALL documents is compared exhaustively. A larger node first compares all its documents with one pivot; if that
-joins them all, the node is done, as it can add nothing to a component; else its documents branch again, and children
-whose documents are joined already are dropped. Signatures only propose: every link is confirmed on the full sets.
+SMALL documents is compared exhaustively. A larger node is compared in random blocks of that size first; documents
+that a block joins to others go on by a few representatives that agree with most of the others, and these and all
+single documents branch again. Signatures only propose: every link is confirmed on the full sets.
 
 No pairs are listed within a group: a comparison unit gives a spanning forest of its confirmed links. Links become
 components by alternating large-star and small-star steps over tables in the shared folder.
@@ -26,7 +26,9 @@ from tidewire.llm.textarrays import BASE, distinct_per_doc, windows, words_of
 SHINGLE, PERCENT = 5, 75
 #: Coordinates of a signature, trees, documents of a node that is compared exhaustively, and agreeing coordinates that
 #: propose a pair: 33 of 64 is over four standard deviations below what a similarity of 0.75 gives.
-COORDINATES, TREES, SMALL, AGREE = 64, 8, 200, 33
+COORDINATES, TREES, SMALL, AGREE = 64, 8, 2048, 33
+#: Documents of each component of a block that branch again for it.
+SPEAKERS = 8
 #: So many row numbers may be broadcast to select texts (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -86,7 +88,7 @@ def chosen(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _branch(level: int):
-    """Arrow rows (key, uid, label, sig) to the rows of the child nodes; at level 0 the rows are (uid, sig) at all roots."""
+    """Arrow rows (key, uid, sig) to the rows (key, uid) of the child nodes; at level 0 the rows are (uid, sig) at all roots."""
 
     def children(key: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in chosen(key, level):
@@ -101,11 +103,9 @@ def _branch(level: int):
             sig = _matrix(batch.column(batch.schema.get_field_index("sig")))
             uid = batch.column(batch.schema.get_field_index("uid"))
             roots = [np.full(batch.num_rows, t, np.int64) for t in range(TREES)] if level == 0 else [np.asarray(batch.column(0), np.int64)]
-            label = batch.column(2) if level else pa.nulls(batch.num_rows, pa.int64())
             for key in roots:
                 for rows, child in children(key, sig):
-                    at = pa.array(rows, pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(child), uid.take(at), label.take(at)], ["key", "uid", "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child), uid.take(pa.array(rows, pa.int64()))], ["key", "uid"])
 
     return run
 
@@ -130,52 +130,31 @@ def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-class Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.find(i), self.find(j)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def proposed(sig: np.ndarray, size: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """Of others those whose signature agrees enough with i's and whose set size allows the similarity."""
-    low, high = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
-    others = others[100 * low >= PERCENT * high]
-    return others[(sig[others] == sig[i]).sum(1) >= AGREE]
+def proposed(sig: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
+    """The later documents whose signatures agree enough with i's and whose set sizes allow the similarity, best first."""
+    low, high = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
+    others = i + 1 + np.flatnonzero(100 * low >= PERCENT * high)
+    agree = (sig[others] == sig[i]).sum(1)
+    keep = agree >= AGREE
+    return others[keep][np.argsort(-agree[keep], kind="stable")]
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep of each unit what signatures can't rule out, split into connected parts that are named by their members."""
     for t in by_unit(batches):
-        uid, pivot = np.asarray(t["uid"], np.int64), np.asarray(t["pivot"])
+        uid = np.asarray(t["uid"], np.int64)
         order = np.argsort(uid)
-        uid, pivot, size = uid[order], pivot[order], np.asarray(t["n_shingles"], np.int64)[order]
-        sig = _matrix(t["sig"].combine_chunks())[order]
-        n, parts = len(uid), []
-        if pivot.any():
-            p = int(np.flatnonzero(pivot)[0])
-            found = proposed(sig, size, p, np.flatnonzero(np.arange(n) != p))
-            if len(found):
-                parts.append(np.append(found, p))
-        else:
-            forest = Forest(n)
-            for i in range(n - 1):
-                for j in proposed(sig, size, i, np.arange(i + 1, n)).tolist():
-                    forest.join(i, j)
-            root = np.array([forest.find(i) for i in range(n)])
-            parts = [x for r in np.unique(root) if len(x := np.flatnonzero(root == r)) > 1]
-        for x in parts:
-            name = int(np.bitwise_xor.reduce(mix64(uid[x].astype(np.uint64))).view(np.int64)) ^ int(pivot.any())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), name)), pa.array(uid[x]), pa.array(pivot[x])], ["unit", "uid", "pivot"])
+        uid, size, n = uid[order], np.asarray(t["n_shingles"], np.int64)[order], len(uid)
+        sig, label = _matrix(t["sig"].combine_chunks())[order], np.arange(len(uid))
+        for i in range(n - 1):
+            for x in np.unique(label[proposed(sig, size, i)]):
+                if x != label[i]:
+                    label[label == x] = label[i]
+        for x in np.unique(label):
+            part = np.flatnonzero(label == x)
+            if len(part) > 1:
+                name = int(np.bitwise_xor.reduce(mix64(uid[part].astype(np.uint64))).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(uid[part])], ["unit", "uid"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -187,96 +166,85 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of each unit that hold on the full sets: a spanning forest, or all of the pivot's."""
+    """The components of each unit by links that hold on the full sets: (a, b, silent), a being one of them.
+
+    Pairs within a component aren't confirmed again. silent: b isn't one of the SPEAKERS documents of its component
+    that agree with the most others.
+    """
     for t in by_unit(batches):
         t = t.combine_chunks()
-        uid, pivot, size = np.asarray(t["uid"], np.int64), np.asarray(t["pivot"]), np.asarray(t["n_shingles"], np.int64)
+        uid, size = np.asarray(t["uid"], np.int64), np.asarray(t["n_shingles"], np.int64)
         sig = _matrix(t["sig"].combine_chunks())
         n, sets = len(uid), []
         for batch in chunked(t.select(["text"]).to_batches(), "text"):
             doc, value = shingle_sets(*text_buffers(batch.column(0)))
             sets += np.split(value, np.cumsum(np.bincount(doc, minlength=batch.num_rows))[:-1])
-        left, right = [], []
-        if pivot.any():
-            p = int(np.flatnonzero(pivot)[0])
-            for j in proposed(sig, size, p, np.flatnonzero(np.arange(n) != p)).tolist():
-                if similar(sets[p], sets[j]):
-                    left.append(uid[p])
-                    right.append(uid[j])
-        else:
-            forest = Forest(n)
-            for i in range(n - 1):
-                for j in proposed(sig, size, i, np.arange(i + 1, n)).tolist():
-                    if forest.find(i) != forest.find(j) and similar(sets[i], sets[j]):
-                        forest.join(i, j)
-                        left.append(uid[i])
-                        right.append(uid[j])
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+        label, degree = np.arange(n), np.zeros(n, np.int64)
+        for i in range(n - 1):
+            others = proposed(sig, size, i)
+            degree[i] += len(others)
+            degree[others] += 1
+            for j in others[label[others] != label[i]].tolist():
+                if label[j] != label[i] and similar(sets[i], sets[j]):
+                    label[label == label[j]] = label[i]
+        order = np.lexsort((uid, -degree, label))
+        first = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
+        count = np.diff(np.append(first, n))
+        rank = np.arange(n) - np.repeat(first, count)
+        some = np.repeat(count, count) > 1
+        head = np.repeat(uid[order][first], count)
+        yield pa.RecordBatch.from_arrays([pa.array(head[some]), pa.array(uid[order][some]), pa.array((rank >= SPEAKERS)[some])], ["a", "b", "silent"])
 
 
 def _links(units: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links of comparison units (unit, uid, pivot)."""
+    """Confirmed links (a, b, silent) of comparison units (unit, uid)."""
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = units.join(sets.select("uid", "n_shingles", "sig"), "uid").repartition(parts, "unit").sortWithinPartitions("unit")
-    kept = staged(signed.select("unit", "uid", "pivot", "n_shingles", "sig").mapInArrow(_propose, "unit long, uid long, pivot boolean").distinct(), "units")
+    kept = staged(signed.select("unit", "uid", "n_shingles", "sig").mapInArrow(_propose, "unit long, uid long").distinct(), "units")
     wanted = kept.select("uid").distinct()
     texts = sets.select("uid", "n_shingles", "sig", "text")
     if wanted.count() <= MOST_BROADCAST:
         texts = texts.join(F.broadcast(wanted), "uid", "left_semi")
-    full = kept.join(texts, "uid").select("unit", "uid", "pivot", "n_shingles", "sig", "text")
-    return full.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_confirm, "a long, b long")
+    full = kept.join(texts, "uid").select("unit", "uid", "n_shingles", "sig", "text")
+    return full.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_confirm, "a long, b long, silent boolean")
 
 
 def find_links(sets: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) between representatives (uid) whose sets are similar, enough to connect all that are found."""
-    signed = staged(sets.join(reps, "uid", "left_semi").where(F.col("n_shingles") > 0), "representatives")
-    nodes = signed.select("uid", "sig").mapInArrow(_branch(0), "key long, uid long, label long")
+    signed = staged(sets.join(reps, "uid", "left_semi").where(F.col("n_shingles") > 0).select("uid", "n_shingles", "sig", "text"), "representatives")
+    nodes = signed.select("uid", "sig").mapInArrow(_branch(0), "key long, uid long")
     links, level = None, 0
     while True:
-        # joined already: all of a node have one label, that of a pivot that they are linked with
-        sized = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("label").alias("labelled"), F.min(F.when(F.col("label").isNull(), F.col("uid"))).alias("free"), F.max("uid").alias("any"))
-        sized = sized.where((F.col("n") > 1) & ~((F.col("labelled") == F.col("n")) & (F.col("low") == F.col("high"))))
-        nodes = staged(nodes.join(sized.select("key", "n", F.coalesce("free", "any").alias("pivot_uid")), "key"), f"nodes-{level}")
-        small = nodes.where(F.col("n") <= SMALL).select(F.col("key").alias("unit"), "uid", F.lit(False).alias("pivot"))
-        big = nodes.where(F.col("n") > SMALL)
-        # a pivot meets its node in units of about SMALL documents
-        share = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / SMALL))
-        star = big.select(F.xxhash64(F.col("pivot_uid"), share).alias("unit"), "uid", "pivot_uid").where(F.col("uid") != F.col("pivot_uid"))
-        centres = star.select("unit", F.col("pivot_uid").alias("uid")).distinct().withColumn("pivot", F.lit(True))
-        units = small.unionByName(star.select("unit", "uid").distinct().withColumn("pivot", F.lit(False))).unionByName(centres)
+        sized = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        nodes = staged(nodes.join(sized, "key"), f"nodes-{level}")
+        block = F.pmod(F.xxhash64("uid", "key"), F.ceil(F.col("n") / SMALL))
+        units = nodes.select(F.when(F.col("n") > SMALL, F.xxhash64("key", block)).otherwise(F.col("key")).alias("unit"), "uid")
         found = staged(_links(units, signed), f"links-{level}")
         links = found if links is None else links.unionByName(found)
+        big = nodes.where(F.col("n") > SMALL)
         if big.isEmpty():
-            return links
-        pivots = found.select(F.col("a").alias("pivot_uid"), F.col("b").alias("uid"), F.lit(True).alias("joined")).distinct()
-        labelled = big.join(pivots, ["pivot_uid", "uid"], "left").withColumn("joined", F.coalesce("joined", F.col("uid") == F.col("pivot_uid")))
-        own = big.where(F.col("uid") == F.col("pivot_uid")).select("key", F.coalesce("label", "uid").alias("pivot_label"))
-        labelled = labelled.join(own, "key").select("key", "uid", F.coalesce("label", F.when(F.col("joined"), F.col("pivot_label"))).alias("label"))
-        state = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count("label").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"))
-        alive = state.where(~((F.col("n") == F.col("m")) & (F.col("low") == F.col("high")))).select("key")
+            return links.select("a", "b")
         level += 1
-        rest = labelled.join(alive, "key", "left_semi").join(signed.select("uid", "sig"), "uid").select("key", "uid", "label", "sig")
-        nodes = staged(rest.mapInArrow(_branch(level), "key long, uid long, label long"), f"children-{level}")
+        rest = big.join(found.where("silent").select(F.col("b").alias("uid")).distinct(), "uid", "left_anti")
+        nodes = rest.join(signed.select("uid", "sig"), "uid").select("key", "uid", "sig").mapInArrow(_branch(level), "key long, uid long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(uid, root) for every node of the links; root is the smallest uid of its component."""
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    mark = None
     while True:
         # large star: every neighbour above u points to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its neighbours below point to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = staged(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        # done when all are stars: nobody points to two, or to one that points on
+        pointing = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        if pointing.where("n > 1").isEmpty() and edges.join(pointing.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return edges.select(F.col("u").alias("uid"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("uid"), F.col("v").alias("root")).distinct())
-        mark = now
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
