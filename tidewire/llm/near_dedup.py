@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import bounded_batches, chunked, mix64, staged, text_buffers
+from tidewire.llm.common import bounded_batches, chunked, mix64, ragged, staged, text_buffers
 from tidewire.llm.textarrays import BASE, distinct_per_doc, windows, words_of
 
 SHINGLE, PERCENT = 5, 75
@@ -70,9 +70,9 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunked(batches, "text"):
         n = batch.num_rows
-        counts, fp1, fp2, sig = signatures(*shingle_sets(*text_buffers(batch.column(2))), n)
+        counts, fp1, fp2, sig = signatures(*shingle_sets(*text_buffers(batch.column(batch.schema.get_field_index("text")))), n)
         sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COORDINATES), n, [None, pa.py_buffer(np.ascontiguousarray(sig))])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), sigs.cast(pa.binary())], ["uid", "doc_id", "text", "n_shingles", "fp1", "fp2", "sig"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), sigs.cast(pa.binary())], [*batch.schema.names, "n_shingles", "fp1", "fp2", "sig"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -130,10 +130,10 @@ def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def proposed(sig: np.ndarray, size: np.ndarray, i: int) -> np.ndarray:
-    """The later documents whose signatures agree enough with i's and whose set sizes allow the similarity, best first."""
-    low, high = np.minimum(size[i + 1 :], size[i]), np.maximum(size[i + 1 :], size[i])
-    others = i + 1 + np.flatnonzero(100 * low >= PERCENT * high)
+def proposed(sig: np.ndarray, size: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Of others those whose signatures agree enough with i's and whose set sizes allow the similarity, best first."""
+    low, high = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+    others = others[100 * low >= PERCENT * high]
     agree = (sig[others] == sig[i]).sum(1)
     keep = agree >= AGREE
     return others[keep][np.argsort(-agree[keep], kind="stable")]
@@ -147,7 +147,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid, size, n = uid[order], np.asarray(t["n_shingles"], np.int64)[order], len(uid)
         sig, label = _matrix(t["sig"].combine_chunks())[order], np.arange(len(uid))
         for i in range(n - 1):
-            for x in np.unique(label[proposed(sig, size, i)]):
+            for x in np.unique(label[proposed(sig, size, i, np.arange(i + 1, n))]):
                 if x != label[i]:
                     label[label == x] = label[i]
         for x in np.unique(label):
@@ -157,12 +157,24 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(uid[part])], ["unit", "uid"])
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """If 100 * intersection >= PERCENT * union of two sorted sets."""
-    if not len(a) or not len(b):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+class Sets:
+    """The sets of a unit's documents, over the numbers of their shingles, for intersections of one with many at once."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.ids = np.unique(values, return_inverse=True)[1].astype(np.int32)
+        self.flag = np.zeros(len(values) + 1, bool)
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """If 100 * intersection >= PERCENT * union of i's set with each of the others'."""
+        own = self.ids[self.start[i] : self.start[i] + self.size[i]]
+        row, within = ragged(self.size[others])
+        self.flag[own] = True
+        both = np.bincount(row, weights=self.flag[self.ids[self.start[others][row] + within]], minlength=len(others)).astype(np.int64)
+        self.flag[own] = False
+        return (both > 0) & (100 * both >= PERCENT * (self.size[i] + self.size[others] - both))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,14 +191,15 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(t.select(["text"]).to_batches(), "text"):
             doc, value = shingle_sets(*text_buffers(batch.column(0)))
             sets += np.split(value, np.cumsum(np.bincount(doc, minlength=batch.num_rows))[:-1])
-        label, degree = np.arange(n), np.zeros(n, np.int64)
+        held, label, degree = Sets(sets), np.arange(n), np.zeros(n, np.int64)
         for i in range(n - 1):
-            others = proposed(sig, size, i)
+            others = proposed(sig, size, i, np.arange(i + 1, n))
             degree[i] += len(others)
             degree[others] += 1
-            for j in others[label[others] != label[i]].tolist():
-                if label[j] != label[i] and similar(sets[i], sets[j]):
-                    label[label == label[j]] = label[i]
+            apart = others[label[others] != label[i]]
+            if len(apart):
+                for x in np.unique(label[apart[held.similar(i, apart)]]):
+                    label[label == x] = label[i]
         order = np.lexsort((uid, -degree, label))
         first = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
         count = np.diff(np.append(first, n))
@@ -196,11 +209,11 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(head[some]), pa.array(uid[order][some]), pa.array((rank >= SPEAKERS)[some])], ["a", "b", "silent"])
 
 
-def _links(units: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links (a, b, silent) of comparison units (unit, uid)."""
+def _links(units: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b, silent) of comparison units (unit, uid). The texts come from sets, where they stand once."""
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = units.join(sets.select("uid", "n_shingles", "sig"), "uid").repartition(parts, "unit").sortWithinPartitions("unit")
-    kept = staged(signed.select("unit", "uid", "n_shingles", "sig").mapInArrow(_propose, "unit long, uid long").distinct(), "units")
+    met = units.join(signed, "uid").repartition(parts, "unit").sortWithinPartitions("unit")
+    kept = staged(met.select("unit", "uid", "n_shingles", "sig").mapInArrow(_propose, "unit long, uid long").distinct(), "units")
     wanted = kept.select("uid").distinct()
     texts = sets.select("uid", "n_shingles", "sig", "text")
     if wanted.count() <= MOST_BROADCAST:
@@ -211,7 +224,7 @@ def _links(units: DataFrame, sets: DataFrame) -> DataFrame:
 
 def find_links(sets: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) between representatives (uid) whose sets are similar, enough to connect all that are found."""
-    signed = staged(sets.join(reps, "uid", "left_semi").where(F.col("n_shingles") > 0).select("uid", "n_shingles", "sig", "text"), "representatives")
+    signed = staged(sets.join(reps, "uid", "left_semi").where(F.col("n_shingles") > 0).select("uid", "n_shingles", "sig"), "representatives")
     nodes = signed.select("uid", "sig").mapInArrow(_branch(0), "key long, uid long")
     links, level = None, 0
     while True:
@@ -219,7 +232,7 @@ def find_links(sets: DataFrame, reps: DataFrame) -> DataFrame:
         nodes = staged(nodes.join(sized, "key"), f"nodes-{level}")
         block = F.pmod(F.xxhash64("uid", "key"), F.ceil(F.col("n") / SMALL))
         units = nodes.select(F.when(F.col("n") > SMALL, F.xxhash64("key", block)).otherwise(F.col("key")).alias("unit"), "uid")
-        found = staged(_links(units, signed), f"links-{level}")
+        found = staged(_links(units, signed, sets), f"links-{level}")
         links = found if links is None else links.unionByName(found)
         big = nodes.where(F.col("n") > SMALL)
         if big.isEmpty():
@@ -247,13 +260,14 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("uid"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("uid"), F.col("v").alias("root")).distinct())
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets: uid, doc_id, text, n_shingles, ... per row of docs; groups: uid, component_id, first_uid per row with shingles)."""
+def grouped(docs: DataFrame, *, keep_row: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(sets: uid, doc_id, text, n_shingles, ..., and the row's other columns as `rest` if wanted; groups: uid, component_id, first_uid per row with shingles)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("string").alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    sets = staged(rows.mapInArrow(_sets, f"uid long, doc_id {kind}, text string, n_shingles long, fp1 long, fp2 long, sig binary"), "sets")
+    rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")] if keep_row else []
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("string").alias("text"), *rest)
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
+    sets = staged(rows.mapInArrow(_sets, f"{schema}, n_shingles long, fp1 long, fp2 long, sig binary"), "sets")
     some = sets.where(F.col("n_shingles") > 0).select("uid", "doc_id", "n_shingles", "fp1", "fp2")
     classes = staged(some.groupBy("n_shingles", "fp1", "fp2").agg(F.min("uid").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")), "classes")
     roots = components(find_links(sets, classes.select(F.col("rep").alias("uid"))))
@@ -279,12 +293,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs of which each stands for its group: that of the smallest doc_id, one of repeated rows."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    numbered = docs.select(F.monotonically_increasing_id().alias("doc_id"), F.col("text").alias("text"), F.col("doc_id").alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"))
-    numbered = staged(numbered, "numbered")
-    ranked = numbered.select(F.struct(F.col("own").isNull().alias("none"), F.col("own"), F.col("doc_id").alias("row")).alias("doc_id"), "text")
-    sets, groups = grouped(ranked)
-    alone = sets.select("uid", "doc_id").join(groups, "uid", "left").where(F.col("first_uid").isNull() | (F.col("first_uid") == F.col("uid")))
-    kept = numbered.join(alone.select(F.col("doc_id.row").alias("doc_id")), "doc_id", "left_semi")
+    sets, groups = grouped(docs, keep_row=True)
+    silent = staged(groups.where(F.col("first_uid") != F.col("uid")).select("uid"), "silent")
+    if silent.count() <= MOST_BROADCAST:
+        silent = F.broadcast(silent)
+    kept = sets.select("uid", "text", "rest").join(silent, "uid", "left_anti")
     return kept.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
