@@ -207,11 +207,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_on(features: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Rules:
-    """Fit on labelled rows that aren't held out, at most `most` of them. features: (doc_id, f_...)."""
-    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("y")).distinct()
-    chosen = features.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most).toPandas()
-    chosen = chosen.sort_values(["doc_id", "y"], kind="stable")
+def marked(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """(doc_id, y) of at most `most` labelled documents, none held out; small enough to be broadcast."""
+    usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("y")).distinct()
+    return F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most))
+
+
+def fit_on(features: DataFrame, labels: DataFrame) -> Rules:
+    """Fit on the marked rows of features (doc_id, f_...)."""
+    chosen = features.join(marked(labels), "doc_id").toPandas().sort_values(["doc_id", "y", *[f"f_{f}" for f in FEATURES]], kind="stable")
     return fit_rules(chosen[[f"f_{f}" for f in FEATURES]].to_numpy(float), chosen["y"].to_numpy(float))
 
 
@@ -229,7 +233,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs whose score is at least 0.5."""
-    labelled = docs.join(labels.where(F.col("quality").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
+    labelled = docs.join(marked(labels).select("doc_id"), "doc_id", "left_semi")
     rules = fit_on(staged(with_statistics(labelled, F.col("doc_id")), "statistics"), labels)
     rows = with_statistics(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.where(rules.column() >= 0.5).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
