@@ -85,3 +85,23 @@ def test_proof(spark):
 
     df = spark.createDataFrame([("a", "b")], "x string, y string").select(authentication.proof_column("k", F.col("x"), F.col("y")).alias("p"))
     assert df.first().p == authentication.proof("k", "a", "b") != authentication.proof("other", "a", "b")
+
+
+def test_cluster_round_trip():
+    from tidewire.sources import cluster
+
+    gossip = [{"node_id": "n1", "state": "DEAD", "incarnation": 7, "host": "h", "cluster_port": 9}, {"node_id": "n2", "state": "ALIVE", "incarnation": -1, "host": "", "cluster_port": 0}]
+    samples = {
+        "publish": {"topic": "t", "source": "s", "origin_node_id": "n", "origin_epoch": 1718900000000, "seq": 5, "link_seq": 300, "data": b"\xff"},
+        "ack": {"acker_node_id": "a", "acks": [{"origin_node_id": "n", "origin_epoch": 1, "acked_seq": 2}]},
+        "interest_sync": {"node_id": "n", "interest_version": 3, "topics": ["a", "", "é"]},
+        "ping": {"seq_no": 1, "piggyback": gossip},
+        "join_ack": {"members": gossip},
+    }
+    for kind in cluster.ARMS:
+        m = {"kind": kind, **cluster.decode(kind, b""), **samples.get(kind, {})}
+        assert cluster.decode_envelope(cluster.encode_envelope(m)) == m
+    assert cluster.decode_envelope(b"")["kind"] == ""
+    with pytest.raises(framing.FrameError):
+        cluster.decode_envelope(b"\xff" * 4)
+    assert len(cluster.ARMS) == 17

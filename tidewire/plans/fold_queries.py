@@ -1,10 +1,10 @@
-"""Queries over ordered folds; tests compare them with folds of the same fixtures in plain Python."""
+"""Queries that SQL can't express: ordered folds, which tests compare with plain Python, and random samples."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.operators import folds
+from tidewire.operators import folds, state
 from tidewire.plans import fixtures as fx
 
 #: A small window, so that the small fixtures reach its end.
@@ -78,4 +78,10 @@ def slow_consumers(s, d):
     return folds.apply_fold(m, ["conn_id"], folds.bounded_delivery(8, 20000000, "DISCONNECT_SLOW_CONSUMER"), "arrival long, outcome string")
 
 
-QUERIES = {f.__name__: f for f in (window_overrun, gap_reset, strict_order_fold, replay_drop_gap, replay_block, ingest_overflow, member_fold, self_refute, member_transitions, slow_consumers)}
+def probe_sample(s, d):
+    """Three helpers for an indirect probe, and the one member that is probed: random, so tests look at counts only."""
+    members = s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("n"), F.col("s_suppkey").cast("string")).alias("node"))
+    return state.sampled(members, 3, 7).withColumn("role", F.lit("helper")).unionByName(state.sampled(members, 1, 8).withColumn("role", F.lit("target")))
+
+
+QUERIES = {f.__name__: f for f in (window_overrun, gap_reset, strict_order_fold, replay_drop_gap, replay_block, ingest_overflow, member_fold, self_refute, member_transitions, slow_consumers, probe_sample)}
