@@ -29,7 +29,7 @@ from tidewire.llm.textarrays import BASE, powers
 
 LEAST, GRAM = 50, 20
 #: Bytes of run texts in a task of matching, of text per bucket of keys; longest run in windows.
-MATCHED, BUCKET, LONGEST_RUN = 2 << 20, 64 << 20, 256
+MATCHED, BUCKET, LONGEST_RUN = 3 << 19, 64 << 20, 256
 KEY_BITS = 39
 NONE = NO_ID
 
@@ -126,7 +126,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = np.empty(len(entry), bool)
         shared[order] = np.repeat(good, np.diff(np.append(first, len(key))))
         packed = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(sizes)[:-1])]
-        yield pa.RecordBatch.from_arrays([t["chunk_id"].combine_chunks(), t["bucket"].combine_chunks(), pa.array(packed, pa.binary())], ["chunk_id", "bucket", "bits"])
+        yield pa.RecordBatch.from_arrays([t["chunk_id"].combine_chunks(), t["bucket"].combine_chunks(), pa.array(packed, pa.binary()), pa.array([int(x.sum()) for x in np.split(shared, np.cumsum(sizes)[:-1])], pa.int64())], ["chunk_id", "bucket", "bits", "n"])
 
 
 def _send_runs(bits: int):
@@ -181,37 +181,53 @@ def _run_rows(chunk_id: int, raw: np.ndarray, docs: np.ndarray, key: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), chunk_id), pa.int64()), pa.array(key[keep].view(np.int64)), texts, pa.array(least, pa.int64()), where], ["chunk_id", "key", "text", "doc_id", "places"])
 
 
-def common_prefix_groups(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffix array up to ties, group of each of its places): suffixes are in one group if they share `least` symbols.
+def _sorted_suffixes(symbols: np.ndarray, least: int) -> np.ndarray:
+    """Suffixes in the order of at least their first least + 1 symbols, by prefix doubling from four.
 
-    symbols: one string over 0 to 256 that ends with 0 and has no two 0 in a row. Only prefixes up to the doubling depth (at least `least` + 1) are ordered; inside
-    a group the order doesn't matter, as an interval of the transform maps onto an interval whatever its inner order.
+    Up to 2**21 suffixes, two ranks and the suffix itself fit one 64-bit value, and plain values sort several times
+    faster than they are ranked by argsort.
     """
     n = len(symbols)
-    padded = np.zeros(n + 7, np.uint64)
+    padded = np.zeros(n + 4, np.uint64)
     padded[:n] = symbols
-    value = np.zeros(n, np.uint64)
-    for i in range(7):
+    value, depth = np.zeros(n, np.uint64), 4
+    for i in range(4):
         value = value << np.uint64(9) | padded[i : i + n]
-    depth = 7
+    low, packed = np.uint64(21), n < 1 << 21
+    index = np.arange(n, dtype=np.uint64)
     while True:
-        suffix = np.argsort(value)
-        ordered = value[suffix]
-        rank = np.empty(n, np.uint64)
-        rank[suffix] = np.cumsum(np.append(0, ordered[1:] != ordered[:-1])).astype(np.uint64) + np.uint64(1)
+        if packed:
+            ordered = value << low | index
+            ordered.sort()
+            suffix = (ordered & np.uint64((1 << 21) - 1)).astype(np.int32)
+            ordered >>= low
+        else:
+            suffix = np.argsort(value)
+            ordered = value[suffix]
         if depth > least:
-            break
+            return suffix
+        rank = np.empty(n, np.uint64)
+        rank[suffix] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])).astype(np.uint64)
         after = np.zeros(n, np.uint64)
         after[: max(n - depth, 0)] = rank[depth:]
-        value = rank << np.uint64(32) | after
-        depth *= 2
+        value, depth = rank << (low if packed else np.uint64(32)) | after, 2 * depth
+
+
+def common_prefix_groups(symbols: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array up to ties, group of each of its places): suffixes are in one group if they share `least` symbols.
+
+    symbols: one string over 0 to 256 that ends with 0 and has no two 0 in a row. Only prefixes up to the doubling depth (at least `least` + 1) are ordered; inside
+    a group the order doesn't matter, as an interval of the transform maps onto an interval whatever its inner order.
+    """
+    suffix = _sorted_suffixes(symbols, least)
+    n = len(symbols)
     transform = np.where(suffix > 0, symbols[suffix - 1].astype(np.uint16), np.uint16(257))
-    occurrence = np.argsort(transform, kind="stable")  # the i-th of them, by symbol and then by place, maps onto place i
+    occurrence = np.argsort(transform, kind="stable").astype(np.int32)  # the i-th of them, by symbol and then by place, maps onto place i
     symbol = transform[occurrence]
     opens = np.append(True, symbol[1:] != symbol[:-1])
     # The symbols before the suffixes lack the last symbol, 0, which precedes none, and hold 257 for the first suffix.
     # As 0 sorts first and 257 last, occurrence i maps onto place i + 1 of the suffix array.
-    source = np.flatnonzero(~opens & (symbol != 257))
+    source = np.flatnonzero(~opens & (symbol != 257)).astype(np.int32)
     place, before, target = occurrence[source], occurrence[source - 1], source + 1
     bounded = np.zeros(n, bool)
     fresh = np.append(True, symbols[suffix][1:] != symbols[suffix][:-1])  # boundaries of value 0
@@ -222,10 +238,10 @@ def common_prefix_groups(symbols: np.ndarray, least: int) -> tuple[np.ndarray, n
         if not len(target) or not fresh.any():
             break
         seen = np.cumsum(fresh, dtype=np.int32)
-        hit = (seen[place] > seen[before]) & ~bounded[target]
+        hit = seen[place] > seen[before]
         fresh = np.zeros(n, bool)
         fresh[target[hit]] = True
-        left = ~hit & ~bounded[target]
+        left = ~hit
         place, before, target = place[left], before[left], target[left]
     return suffix, np.cumsum(bounded) - 1
 
@@ -346,12 +362,14 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     total = chunks.agg(F.sum(F.length("raw"))).first()[0] or 0
     bits = max(0, (max(parts, -(-total // BUCKET)) - 1).bit_length())
     keys = chunks.select("chunk_id", "docs", "offsets", "raw").mapInArrow(_send_keys(bits), "bucket long, chunk_id long, keys binary")
-    marks = keys.repartition(max(parts, 1 << bits), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "chunk_id long, bucket long, bits binary")
-    marks = staged(marks, "marks").groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
+    marks = keys.repartition(max(parts, 1 << bits), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "chunk_id long, bucket long, bits binary, n long")
+    marks = staged(marks, "marks")
+    shared = marks.agg(F.sum("n")).first()[0] or 0
+    marks = marks.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
     marked = chunks.join(marks.hint("shuffle_hash"), "chunk_id").select("chunk_id", "docs", "offsets", "raw", "marks")
-    sent = staged(marked.mapInArrow(_send_runs(bits), "chunk_id long, key long, text binary, doc_id long, places binary"), "runs")
-    volume = sent.agg(F.sum(F.length("text"))).first()[0] or 0
-    tasks = max(1, -(-volume // MATCHED))
+    sent = marked.mapInArrow(_send_runs(bits), "chunk_id long, key long, text binary, doc_id long, places binary")
+    # a run has about (width + 1) / 2 windows, so its text has about 65 bytes
+    tasks = max(1, -(-shared * (LEAST + (LEAST - GRAM) // 2) // MATCHED))
     dealt = sent.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
     found = dealt.repartition(max(parts, tasks), "task").sortWithinPartitions("task").select("task", "chunk_id", "text", "doc_id", "places").mapInArrow(_match, "chunk_id long, found binary")
     found = staged(found, "found").groupBy("chunk_id").agg(F.collect_list("found").alias("found"))
