@@ -43,17 +43,14 @@ def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     x = raw.astype(np.uint64)
     for step in (1, 2, 4):
         x = x[:-step] | x[step:] << np.uint64(8 * step)
-        if step == 2:
-            four = x
-    m = n - GRAM + 1
-    g = x[:m] * BASE
-    g ^= g >> np.uint64(32)
-    g += x[8 : 8 + m] * np.uint64(0xC2B2AE3D27D4EB4F)
-    g ^= g >> np.uint64(29)
-    g += four[16 : 16 + m]
+    # eight bytes at a time, the last eight where the gram ends
+    m, g = n - GRAM + 1, np.zeros(n - GRAM + 1, np.uint64)
+    for at in [*range(0, GRAM - 8, 8), GRAM - 8]:
+        g += x[at : at + m]
+        g *= BASE
+        g ^= g >> np.uint64(32)
     g *= np.uint64(0x165667B19E3779F9)
-    g ^= g >> np.uint64(32)
-    g *= BASE
+    g ^= g >> np.uint64(29)
     width = LEAST - GRAM + 1
     size = 1
     while 2 * size <= width:
@@ -80,12 +77,15 @@ def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def chunk_keys(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, sorted; if several documents of the chunk have it; for each run the place of its key)."""
-    distinct, place = np.unique(key, return_inverse=True)
-    low, high = np.full(len(distinct), NONE), np.full(len(distinct), -1)
-    np.minimum.at(low, place, doc)
-    np.maximum.at(high, place, doc)
-    return distinct, low != high, place
+    """(distinct keys, sorted; if several documents of the chunk have it; for each run the place of its key); doc ascends."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(key)) - 1
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[first], doc[order[first]] != doc[order[last]], place
 
 
 def _bounds(distinct: np.ndarray, bits: int) -> np.ndarray:
@@ -246,52 +246,62 @@ def common_prefix_groups(symbols: np.ndarray, least: int) -> tuple[np.ndarray, n
     return suffix, np.cumsum(bounded) - 1
 
 
-def least_documents(texts: list[bytes], docs: np.ndarray, least: int = LEAST) -> list[np.ndarray]:
-    """For each window of each text the least document that holds it."""
+def least_windows(texts: list[bytes], docs: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each text, one text after the other, the least document that holds it; and the texts' numbers of windows."""
     sizes = np.array([len(t) for t in texts])
     joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 1
     starts = np.cumsum(sizes + 1) - (sizes + 1)
     joined[starts + sizes] = 0
     owner, within = ragged(sizes + 1)
     suffix, group = common_prefix_groups(joined, least)
-    window = within[suffix] + least <= sizes[owner[suffix]]
-    value = np.where(window, docs[owner[suffix]], NONE)
+    window = within + least <= sizes[owner]
+    value = np.where(window, docs[owner], NONE)
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     low = np.empty(len(joined), np.int64)
-    low[suffix] = np.minimum.reduceat(value, first)[group]
-    return [low[a : a + n - least + 1] for a, n in zip(starts, sizes, strict=True)]
+    low[suffix] = np.minimum.reduceat(value[suffix], first)[group]
+    return low[window], np.maximum(sizes - least + 1, 0)
+
+
+def least_documents(texts: list[bytes], docs: np.ndarray, least: int = LEAST) -> list[np.ndarray]:
+    """least_windows as one array per text."""
+    low, counts = least_windows(texts, docs, least)
+    return np.split(low, np.cumsum(counts)[:-1])
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task and chunk one row of findings: for each run text its places and the least documents of its windows, run-length coded."""
     for t in groups(batches, "task"):
-        texts, docs = t["text"].to_pylist(), np.asarray(t["doc_id"], np.int64)
-        number: dict[bytes, int] = {}
-        which = np.array([number.setdefault(x, len(number)) for x in texts])
-        low = np.full(len(number), NONE)
+        t = t.combine_chunks()
+        coded = t["text"].combine_chunks().dictionary_encode()
+        which, docs = np.asarray(coded.indices, np.int64), np.asarray(t["doc_id"], np.int64)
+        low = np.full(len(coded.dictionary), NONE)
         np.minimum.at(low, which, docs)
-        found = least_documents(list(number), low)
-        by_chunk: dict[int, list[int]] = {}
+        found, counts = least_windows(coded.dictionary.to_pylist(), low)
+        # maximal stretches of one document in each text
+        begins = np.cumsum(counts) - counts
+        new = np.append(True, found[1:] != found[:-1])
+        new[begins] = True
+        cut = np.flatnonzero(new)
+        lengths, values = np.diff(np.append(cut, len(found))), found[cut]
+        n_runs = np.bincount(np.searchsorted(begins, cut, side="right") - 1, minlength=len(counts))
+        first_run = np.cumsum(n_runs) - n_runs
         places = t["places"].to_pylist()
-        for i, c in enumerate(t["chunk_id"].to_pylist()):
-            w = found[which[i]]
-            if len(places[i]) > 4 or (w != docs[i]).any():
-                by_chunk.setdefault(c, []).append(i)
+        n_places = np.array([len(x) // 4 for x in places])
+        # a text that one document of the chunk holds, and that is its own throughout, needs no answer
+        use = np.flatnonzero((n_places > 1) | (n_runs[which] > 1) | (values[first_run[which]] != docs))
+        chunk = np.asarray(t["chunk_id"], np.int64)[use]
+        order = np.argsort(chunk, kind="stable")
+        use, chunk = use[order], chunk[order]
         ids, blobs = [], []
-        for c, rows in by_chunk.items():
-            n_places, n_runs, all_places, lengths, values = [], [], [], [], []
-            for i in rows:
-                w = found[which[i]]
-                cut = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-                n_places.append(len(places[i]) // 4)
-                n_runs.append(len(cut))
-                all_places.append(places[i])
-                lengths.append(np.diff(np.append(cut, len(w))))
-                values.append(w[cut])
-            head = np.array([len(rows), sum(n_places), sum(n_runs)], "<u4")
-            parts = [head, np.array(n_places, "<u4"), np.array(n_runs, "<u4"), np.frombuffer(b"".join(all_places), "<u4"), np.concatenate(lengths).astype("<u4")]
-            ids.append(c)
-            blobs.append(b"".join(p.tobytes() for p in parts) + np.concatenate(values).astype("<i8").tobytes())
+        for rows in np.split(use, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1) if len(use) else []:
+            runs_of = n_runs[which[rows]]
+            item, k = ragged(runs_of)
+            run = first_run[which[rows]][item] + k
+            head = np.array([len(rows), n_places[rows].sum(), len(run)], "<u4")
+            parts = [head, n_places[rows].astype("<u4"), runs_of.astype("<u4")]
+            tail = [lengths[run].astype("<u4"), values[run].astype("<i8")]
+            blobs.append(b"".join([*[p.tobytes() for p in parts], *[places[i] for i in rows], *[p.tobytes() for p in tail]]))
+            ids.append(int(np.asarray(t["chunk_id"][int(rows[0])].as_py())))
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["chunk_id", "found"])
 
