@@ -1,8 +1,9 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, one of the target documents and one of all documents, share one vocabulary: the most frequent words
-of the corpus, all others being one unknown word. Both are smoothed alike, so their losses per token can be compared;
-a document's score is its loss under the target model less that under the background model (low: like the target).
+Two bigram models, one of the target documents and one of all documents, share one vocabulary: the words of the corpus
+that occur more often than a count which at most VOCABULARY words exceed, all others being one unknown word. Both are
+smoothed alike, so their losses per token can be compared; a document's score is its loss under the target model less
+that under the background model (low: like the target).
 
 Word and bigram counts cover all documents. Bigram counts grow with the corpus and are never gathered in one place:
 each chunk of documents sends its distinct bigrams, with its own counts, to their buckets; a bucket sums them up and
@@ -69,7 +70,7 @@ def merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nd
 
 
 def _sum_words(most: int):
-    """Per bucket its most frequent words, and its totals in a row without word."""
+    """Per bucket its most frequent words (no more can be in the vocabulary), and its totals in a row without word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "bucket"):
@@ -175,6 +176,20 @@ def _score(vocabulary: np.ndarray, unigrams: np.ndarray, parts: int):
     return run
 
 
+def count_to_pass(counts: DataFrame, most: int) -> int:
+    """The least count that at most `most` words exceed. Counts are gathered by eighths of powers of two, then one such bucket by count."""
+    eighth = F.floor(F.log2("n") * 8)
+    passed = 0
+    for row in sorted(counts.groupBy(eighth.alias("b")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        if passed + row["words"] > most:
+            for n, words in counts.where(eighth == row["b"]).groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
+                if passed + words > most:
+                    return n
+                passed += words
+        passed += row["words"]
+    return 0
+
+
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Per row: doc_id, n_tokens (words and the end), target_loss, background_loss (mean over tokens, in nats), score.
 
@@ -191,13 +206,13 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.join(chosen, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.col("t_id").isNotNull().alias("flag"))
     chunks = chunk_table(rows)
-    size, texts, target_texts = 0, 0, 0
     size = chunks.agg(F.sum(F.length("raw"))).first()[0] or 0
     parts = max(parts, -(-size // BUCKET))
     words = chunks.select("chunk_id", "docs", "flags", "offsets", "raw").mapInArrow(_count_words(parts), "bucket long, word binary, n binary, t binary")
     counts = staged(words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sum_words(VOCABULARY), "word long, n long, t long"), "words")
     # at most VOCABULARY rows come to the driver, and two sums
-    top = counts.where(F.col("word").isNotNull()).orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
+    known = counts.where(F.col("word").isNotNull())
+    top = known.where(F.col("n") > count_to_pass(known, VOCABULARY)).toPandas()
     total = counts.where(F.col("word").isNull()).agg(F.sum("n"), F.sum("t")).first()
     top["hash"] = top["word"].to_numpy(np.int64).view(np.uint64)
     top = top.sort_values("hash")
