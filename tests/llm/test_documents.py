@@ -321,6 +321,21 @@ def test_near_copies(docs_of, odd, documents, small, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("deep", [12, 2])
+def test_chains_from_a_large_group(docs_of, deep, monkeypatch):
+    """Hub, D and E: similar from one to the next only. The group spans many blocks, in which few have met E."""
+    monkeypatch.setattr(near_dedup, "SMALL", 16)
+    monkeypatch.setattr(near_dedup, "DEEP", deep, raising=False)
+    hub = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*hub, f"h{i}"])) for i in range(300)]
+    for k in range(12):
+        d = [*hub[:50], *(f"d{k}x{i}" for i in range(15)), *hub[65:]]
+        e = [*d[:120], *(f"e{k}x{i}" for i in range(15)), *d[135:]]
+        rows += [(1000 + k, " ".join([*d, f"d{k}"])), (2000 + k, " ".join([*e, f"e{k}"]))]
+    got = near_dedup.near_duplicates(docs_of(rows)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}
+
+
 def test_near_copies_edges(docs_of):
     assert near_dedup.near_duplicates(docs_of([])).collect() == []
     kept = near_dedup.keep_first(docs_of([(2, "a b c d e f"), (2, "a b c d e f"), (1, "A b c d e f"), (3, None), (4, "")], extra=True)).collect()

@@ -3,9 +3,10 @@
 Each text's set of 5-word shingles gets a signature of minwise tokens. Equal sets become one class at once, so copies
 are never compared. In each of several independent trees, documents branch by the minwise tokens at chosen coordinates
 (one or two per node, 1/threshold on average): documents that agree there meet in a child node. A node of at most
-SMALL documents is compared exhaustively. A larger node is compared in random blocks of that size first; documents
-that a block joins to others go on by a few representatives that agree with most of the others, and these and all
-single documents branch again. Signatures only propose: every link is confirmed on the full sets.
+SMALL documents is compared exhaustively. A larger node is compared in random blocks of that size first. If all its
+documents are in one component by then, it has nothing left to find. If few are outside of its largest component, these
+are compared with all of it. Otherwise all of its documents branch again; nodes that are still large and mixed after
+DEEP levels are compared whole. Signatures only propose: every link is confirmed on the full sets.
 
 No pairs are listed within a group: a comparison unit gives a spanning forest of its confirmed links. Links become
 components by alternating large-star and small-star steps over tables in the shared folder.
@@ -27,8 +28,8 @@ SHINGLE, PERCENT = 5, 75
 #: Coordinates of a signature, trees, documents of a node that is compared exhaustively, and agreeing coordinates that
 #: propose a pair: 33 of 64 is over four standard deviations below what a similarity of 0.75 gives.
 COORDINATES, TREES, SMALL, AGREE = 64, 8, 2048, 33
-#: Documents of each component of a block that branch again for it.
-SPEAKERS = 8
+#: Levels after which a large node of several components is compared whole, which grows with the square of its size.
+DEEP = 12
 #: So many row numbers may be broadcast to select texts (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
@@ -140,21 +141,26 @@ def proposed(sig: np.ndarray, size: np.ndarray, i: int, others: np.ndarray) -> n
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep of each unit what signatures can't rule out, split into connected parts that are named by their members."""
+    """Keep of each unit what signatures can't rule out, split into connected parts that are named by their members.
+
+    Documents of the same root are known to be connected and aren't compared.
+    """
     for t in by_unit(batches):
         uid = np.asarray(t["uid"], np.int64)
         order = np.argsort(uid)
-        uid, size, n = uid[order], np.asarray(t["n_shingles"], np.int64)[order], len(uid)
+        uid, root, size, n = uid[order], np.asarray(t["root"], np.int64)[order], np.asarray(t["n_shingles"], np.int64)[order], len(uid)
+        if (root == root[0]).all():
+            continue
         sig, label = _matrix(t["sig"].combine_chunks())[order], np.arange(len(uid))
         for i in range(n - 1):
-            for x in np.unique(label[proposed(sig, size, i, np.arange(i + 1, n))]):
+            for x in np.unique(label[proposed(sig, size, i, i + 1 + np.flatnonzero(root[i + 1 :] != root[i]))]):
                 if x != label[i]:
                     label[label == x] = label[i]
         for x in np.unique(label):
             part = np.flatnonzero(label == x)
             if len(part) > 1:
                 name = int(np.bitwise_xor.reduce(mix64(uid[part].astype(np.uint64))).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(uid[part])], ["unit", "uid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(uid[part]), pa.array(root[part])], ["unit", "uid", "root"])
 
 
 class Sets:
@@ -178,10 +184,9 @@ class Sets:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The components of each unit by links that hold on the full sets: (a, b, silent), a being one of them.
+    """The components of each unit by links that hold on the full sets, and by roots: (a, b), a being one of them.
 
-    Pairs within a component aren't confirmed again. silent: b isn't one of the SPEAKERS documents of its component
-    that agree with the most others.
+    Pairs within a component aren't confirmed again.
     """
     for t in by_unit(batches):
         t = t.combine_chunks()
@@ -191,55 +196,85 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(t.select(["text"]).to_batches(), "text"):
             doc, value = shingle_sets(*text_buffers(batch.column(0)))
             sets += np.split(value, np.cumsum(np.bincount(doc, minlength=batch.num_rows))[:-1])
-        held, label, degree = Sets(sets), np.arange(n), np.zeros(n, np.int64)
+        held, label = Sets(sets), np.unique(np.asarray(t["root"], np.int64), return_inverse=True)[1]
         for i in range(n - 1):
-            others = proposed(sig, size, i, np.arange(i + 1, n))
-            degree[i] += len(others)
-            degree[others] += 1
-            apart = others[label[others] != label[i]]
+            apart = proposed(sig, size, i, i + 1 + np.flatnonzero(label[i + 1 :] != label[i]))
             if len(apart):
                 for x in np.unique(label[apart[held.similar(i, apart)]]):
                     label[label == x] = label[i]
-        order = np.lexsort((uid, -degree, label))
+        order = np.lexsort((uid, label))
         first = np.flatnonzero(np.append(True, label[order][1:] != label[order][:-1]))
         count = np.diff(np.append(first, n))
-        rank = np.arange(n) - np.repeat(first, count)
         some = np.repeat(count, count) > 1
         head = np.repeat(uid[order][first], count)
-        yield pa.RecordBatch.from_arrays([pa.array(head[some]), pa.array(uid[order][some]), pa.array((rank >= SPEAKERS)[some])], ["a", "b", "silent"])
+        yield pa.RecordBatch.from_arrays([pa.array(head[some]), pa.array(uid[order][some])], ["a", "b"])
 
 
 def _links(units: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links (a, b, silent) of comparison units (unit, uid). The texts come from sets, where they stand once."""
+    """Confirmed links (a, b) of comparison units (unit, uid, root). The texts come from sets, where they stand once."""
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = units.join(signed, "uid").repartition(parts, "unit").sortWithinPartitions("unit")
-    kept = staged(met.select("unit", "uid", "n_shingles", "sig").mapInArrow(_propose, "unit long, uid long").distinct(), "units")
+    kept = staged(met.select("unit", "uid", "root", "n_shingles", "sig").mapInArrow(_propose, "unit long, uid long, root long").distinct(), "units")
     wanted = kept.select("uid").distinct()
     texts = sets.select("uid", "n_shingles", "sig", "text")
     if wanted.count() <= MOST_BROADCAST:
         texts = texts.join(F.broadcast(wanted), "uid", "left_semi")
-    full = kept.join(texts, "uid").select("unit", "uid", "n_shingles", "sig", "text")
-    return full.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_confirm, "a long, b long, silent boolean")
+    full = kept.join(texts, "uid").select("unit", "uid", "root", "n_shingles", "sig", "text")
+    return full.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_confirm, "a long, b long")
+
+
+def _whole(ends: DataFrame) -> DataFrame:
+    """Units (unit, uid) in which each document outside of its node's largest component meets all others of the node.
+
+    ends: (key, uid, inside, most, n). Blocks of half a unit from the largest component meet those from outside, and
+    these each other.
+    """
+    half = max(1, SMALL // 2)
+    of_inside, of_outside = F.ceil(F.col("most") / half), F.ceil((F.col("n") - F.col("most")) / half)
+    own = F.pmod(F.xxhash64("uid", "key"), F.when(F.col("inside"), of_inside).otherwise(of_outside))
+    dealt = ends.select("key", "uid", "inside", own.alias("own"), of_inside.alias("i"), of_outside.alias("o"))
+    across = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("inside"), F.col("o")).otherwise(F.col("i")) - 1)))
+    pair = [F.when(F.col("inside"), F.col("own")).otherwise(F.col("other")), F.when(F.col("inside"), F.col("other")).otherwise(F.col("own"))]
+    outside = dealt.where(~F.col("inside") & (F.col("o") > 1)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o") - 1)))
+    return across.select(F.xxhash64("key", F.lit(0), *pair).alias("unit"), "uid").unionByName(
+        outside.select(F.xxhash64("key", F.lit(1), F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "uid")
+    )
 
 
 def find_links(sets: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) between representatives (uid) whose sets are similar, enough to connect all that are found."""
     signed = staged(sets.join(reps, "uid", "left_semi").where(F.col("n_shingles") > 0).select("uid", "n_shingles", "sig"), "representatives")
     nodes = signed.select("uid", "sig").mapInArrow(_branch(0), "key long, uid long")
-    links, level = None, 0
+    ends = roots = None
+    level = 0
     while True:
         sized = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         nodes = staged(nodes.join(sized, "key"), f"nodes-{level}")
         block = F.pmod(F.xxhash64("uid", "key"), F.ceil(F.col("n") / SMALL))
         units = nodes.select(F.when(F.col("n") > SMALL, F.xxhash64("key", block)).otherwise(F.col("key")).alias("unit"), "uid")
-        found = staged(_links(units, signed, sets), f"links-{level}")
-        links = found if links is None else links.unionByName(found)
+        if ends is None:
+            units = units.withColumn("root", F.col("uid"))
+        else:
+            units = units.unionByName(ends).join(roots, "uid", "left").select("unit", "uid", F.coalesce("root", "uid").alias("root"))
+        links = staged(_links(units, signed, sets), f"links-{level}")
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("uid").alias("a"), F.col("root").alias("b")))
         big = nodes.where(F.col("n") > SMALL)
         if big.isEmpty():
-            return links.select("a", "b")
+            return links
         level += 1
-        rest = big.join(found.where("silent").select(F.col("b").alias("uid")).distinct(), "uid", "left_anti")
-        nodes = rest.join(signed.select("uid", "sig"), "uid").select("key", "uid", "sig").mapInArrow(_branch(level), "key long, uid long")
+        roots = components(links)
+        # a large node ends when one component holds all of it, or all but few; other large nodes branch with all documents
+        rooted = staged(big.join(roots, "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root")), f"rooted-{level}")
+        held = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n"))
+        mixed = staged(held.groupBy("key").agg(F.max(F.struct("held", "root")).alias("top"), F.first("n").alias("n")).where("top.held < n").select("key", F.col("top.held").alias("most"), F.col("top.root").alias("top")), f"mixed-{level}")
+        several = mixed.count()
+        if not several:
+            return links
+        rest = rooted.join(F.broadcast(mixed) if several <= MOST_BROADCAST else mixed, "key")
+        last = (F.col("n") - F.col("most") <= SMALL // 2) | F.lit(level >= DEEP)
+        ends = _whole(rest.where(last).select("key", "uid", (F.col("root") == F.col("top")).alias("inside"), "most", "n"))
+        nodes = rest.where(~last).join(signed.select("uid", "sig"), "uid").select("key", "uid", "sig").mapInArrow(_branch(level), "key long, uid long")
 
 
 def components(links: DataFrame) -> DataFrame:
