@@ -243,6 +243,14 @@ def test_hint_misses_nothing(documents):
     assert all(h or not (secrets.scan_text(t)[0] or secrets.scan_text(t)[1]) for h, t in zip(hits, texts, strict=True))
 
 
+def test_hint_and_decoders_reach_the_shortest(docs_of):
+    braces = "".join(f"\\u{{{ord(c):x}}}" for c in "password") + "=hunter22"
+    texts = [braces, *(base64.b64encode(x).decode() for x in (b"token=abc123", b"secret=abcdefg", b"token:aaaaaa")), b"token=abc123".hex().upper()]
+    got = secrets.find_secrets(docs_of(list(enumerate(texts)))).collect()
+    assert len(got) == len(texts) and all(r.spans.endswith(f"assign:0:{len(texts[r.doc_id])}") for r in got)
+    assert all(r.text == "[secret]" for r in secrets.redact_documents(docs_of(list(enumerate(texts)))).collect())
+
+
 # --- 7
 
 

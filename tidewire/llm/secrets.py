@@ -30,13 +30,14 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Texts without any of these hold no secret in any layer.
-HINT = r"""(?i:passw(?:or)?d|secret|token|api_?key|%[0-9a-f]{2}|\\u\{?[0-9a-f]{4}|\\x[0-9a-f]{2}|&#x?[0-9a-f]+;)|AKIA[A-Z0-9]|[0-9a-f]{24}|[A-Za-z0-9+/_-]{20}"""
+#: Texts without any of these hold no secret in any layer: each decoder's shortest unit or run matches. The shortest
+#: secret is an assignment of 12 characters (token=abcdef), 16 in base64 and 24 in hex.
+HINT = r"""(?i:passw(?:or)?d|secret|token|api_?key|%[0-9a-f]{2}|\\u\{[0-9a-f]{1,6}\}|\\u[0-9a-f]{4}|\\x[0-9a-f]{2}|&#x?[0-9a-f]+;)|AKIA[A-Z0-9]|[0-9a-f]{24}|[A-Za-z0-9+/_-]{16}"""
 
 URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_UNIT = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
+BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
 
 #: A compressed layer larger than this is a bomb: its first part of this size is scanned and the text is flagged.
 MOST_INFLATED = 64 << 20
