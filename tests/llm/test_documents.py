@@ -251,6 +251,25 @@ def test_hint_and_decoders_reach_the_shortest(docs_of):
     assert all(r.text == "[secret]" for r in secrets.redact_documents(docs_of(list(enumerate(texts)))).collect())
 
 
+@pytest.mark.parametrize("width", [20, 64, 76])
+def test_wrapped_base64(width):
+    def wrap(raw, end="\n"):
+        x = base64.b64encode(raw).decode()
+        return end.join(x[i : i + width] for i in range(0, len(x), width))
+
+    noise = "".join(chr(33 + x) for x in np.random.default_rng(4).integers(0, 90, 400)).encode()
+    for raw in (b"x" * 45 + b" password=hunter2hunter2", gzip.compress(noise + b" password=hunter2hunter2"), zlib.compress(noise + b" token=abc123")):
+        for end in ("\n", "\r\n", "\n    "):
+            block = wrap(raw, end)
+            for text in (block, f"-----BEGIN X-----\n{block}\n-----END X-----\n", f"data: {block}\nand so on"):
+                base, added, guarded = secrets.scan_text(text)
+                a = text.index(block[:16])
+                assert not base and not guarded
+                assert any(x <= a and y >= a + len(block) and kind.endswith("assign") for x, y, kind in added)
+    cut = base64.b64encode(gzip.compress(b"some plain text " + noise)[:300]).decode()
+    assert secrets.scan_text(cut)[2]
+
+
 # --- 7
 
 

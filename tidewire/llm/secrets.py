@@ -37,6 +37,10 @@ HINT = r"""(?i:passw(?:or)?d|secret|token|api_?key|%[0-9a-f]{2}|\\u\{[0-9a-f]{1,
 URL_UNIT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_UNIT = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that go on over line breaks; lines may be indented. The padding ends it.
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*\r?\n[\x20\t>]*[A-Za-z0-9+/_-]++)+={0,2}")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+LEAST_BASE64 = 16
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
 
 #: A compressed layer larger than this is a bomb: its first part of this size is scanned and the text is flagged.
@@ -74,7 +78,7 @@ def _readable(raw: bytes) -> str | None:
 
 
 def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
-    """Bytes of a gzip or zlib stream, and if it was cut at MOST_INFLATED; None for other bytes."""
+    """Bytes of a gzip or zlib stream, and if it was cut at MOST_INFLATED or ends too early; None for other bytes."""
     if raw[:2] == b"\x1f\x8b":
         bits = 31
     elif len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
@@ -84,7 +88,7 @@ def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
     try:
         worker = zlib.decompressobj(bits)
         out = worker.decompress(raw, MOST_INFLATED)
-        return out, bool(worker.unconsumed_tail)
+        return out, not worker.eof
     except (zlib.error, gzip.BadGzipFile):
         return None, False
 
@@ -122,12 +126,42 @@ def _url(token: str) -> str:
     return binascii.unhexlify(token.replace("%", "")).decode("utf-8", "replace")
 
 
-def _packed(layer: Layer, run: re.Match, raw: bytes, via: str) -> tuple[Layer | None, bool]:
+def _packed(layer: Layer, a: int, b: int, raw: bytes, via: str) -> tuple[Layer | None, bool]:
     inflated, cut = _inflate(raw)
     if inflated is not None:
         raw, via = inflated, f"{via}.zip"
-    text = _readable(raw) if not cut else raw.decode("utf-8", "replace")
-    return (Layer(text, *layer.span(run.start(), run.end()), via) if text else None), cut
+    if cut and len(raw) < MOST_INFLATED:
+        text = raw.decode("utf-8", "ignore")
+        text = _readable(text.encode())
+    else:
+        text = _readable(raw) if not cut else raw.decode("utf-8", "replace")
+    return (Layer(text, *layer.span(a, b), via) if text else None), cut
+
+
+def _base64(run: str) -> bytes | None:
+    run = run.replace("-", "+").replace("_", "/")
+    return base64.b64decode(run + "=" * (-len(run) % 4)) if len(run) % 4 != 1 else None
+
+
+def wrapped(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, characters) of base64 that may be wrapped: lines of one width, with the shorter line after them and without, and with the line before them and without."""
+    for m in BASE64_LINES.finditer(text):
+        lines = [x.span() for x in BASE64_LINE.finditer(text, *m.span())]
+        width = [b - a for a, b in lines]
+        if max(width) < LEAST_BASE64:
+            continue
+        first = 0
+        while first < len(lines):
+            last = first + 1
+            while last < len(lines) and width[last] == width[first]:
+                last += 1
+            if width[first] >= LEAST_BASE64:
+                for a in (first - 1, first) if first else (first,):
+                    for b in (last, last + 1) if last < len(lines) and width[last] < width[first] else (last,):
+                        if b - a > 1:
+                            end = m.end() if b == len(lines) else lines[b - 1][1]
+                            yield lines[a][0], end, "".join(text[x:y] for x, y in lines[a:b])
+            first = last
 
 
 def _children(layer: Layer) -> Iterator[tuple[Layer, bool]]:
@@ -136,15 +170,24 @@ def _children(layer: Layer) -> Iterator[tuple[Layer, bool]]:
         yield child, False
     if ("\\" in layer.text or "&#" in layer.text) and (child := _escapes(layer, UNICODE_UNIT, _unit, f"{prefix}unicode")):
         yield child, False
-    for m in BASE64_RUN.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
+    whole: list[tuple[int, int]] = []
+    open_ended: list[tuple[int, int, Layer]] = []
+    for a, b, run in [*wrapped(layer.text), *((m.start(), m.end(), m[0].rstrip("=")) for m in BASE64_RUN.finditer(layer.text))]:
+        raw = _base64(run)
+        if raw is None:
             continue
-        child, cut = _packed(layer, m, base64.b64decode(run + "=" * (-len(run) % 4)), f"{prefix}base64")
-        if child:
-            yield child, cut
+        child, cut = _packed(layer, a, b, raw, f"{prefix}base64")
+        if child and cut:
+            open_ended.append((a, b, child))
+        elif child:
+            whole.append((a, b))
+            yield child, False
+    # part of a stream that another choice of lines has read to its end is not incomplete
+    for a, b, child in open_ended:
+        if not any(x <= a and b <= y for x, y in whole):
+            yield child, True
     for m in HEX_RUN.finditer(layer.text):
-        child, cut = _packed(layer, m, binascii.unhexlify(m[0]), f"{prefix}hexed")
+        child, cut = _packed(layer, m.start(), m.end(), binascii.unhexlify(m[0]), f"{prefix}hexed")
         if child:
             yield child, cut
 
@@ -231,7 +274,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, guarded.
 
     A null text is scanned as the empty text and has no spans; repeated rows are scanned each; a null doc_id is kept.
-    `guarded` is true where a compressed layer was larger than MOST_INFLATED and only its first part was scanned.
+    `guarded` is true where a compressed layer was larger than MOST_INFLATED, or its stream ended too early, and only its
+    first part was scanned.
     """
     return scan(docs, F.col("doc_id")).withColumnRenamed("key", "doc_id")
 
