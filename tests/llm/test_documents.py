@@ -201,6 +201,19 @@ def test_losses(docs_of):
     assert lm_scoring.cross_entropy_difference(docs_of([]), docs_of([])).collect() == []
 
 
+def test_every_word_is_in_the_vocabulary(docs_of, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 3)
+    texts = {1: "a b c d e a b", 2: "e f g a b", 3: "h", 4: "f f f"}
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs_of(list(texts.items())), docs_of([(1, "x"), (3, "x")])).collect()}
+    for name, ids in (("background_loss", [1, 2, 3, 4]), ("target_loss", [1, 3])):
+        seqs = [["", *texts[i].split(), ""] for i in ids]
+        u, b = Counter(w for x in seqs for w in x[1:]), Counter(p for x in seqs for p in zip(x, x[1:], strict=False))
+        for i, t in texts.items():
+            seq = ["", *t.split(), ""]
+            loss = [-math.log((b[h, w] + lm_scoring.WEIGHT * (u[w] + 1) / (sum(u.values()) + 8 + 2)) / (u[h] + lm_scoring.WEIGHT)) for h, w in zip(seq, seq[1:], strict=False)]
+            assert math.isclose(got[i][name], sum(loss) / len(loss), abs_tol=1e-12)
+
+
 # --- 6
 
 

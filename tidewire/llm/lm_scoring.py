@@ -1,13 +1,12 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, one of the target documents and one of all documents, share one vocabulary: the words of the corpus
-that occur more often than a count which at most VOCABULARY words exceed, all others being one unknown word. Both are
-smoothed alike, so their losses per token can be compared; a document's score is its loss under the target model less
-that under the background model (low: like the target).
-
-Word and bigram counts cover all documents. Bigram counts grow with the corpus and are never gathered in one place:
-each chunk of documents sends its distinct bigrams, with its own counts, to their buckets; a bucket sums them up and
-answers each chunk with the totals of just the bigrams that it sent.
+Two bigram models, one of the target documents and one of all documents, share one vocabulary: every word of the corpus.
+Both are smoothed alike, so their losses per token can be compared; a document's score is its loss under the target model
+less that under the background model (low: like the target).
+
+Word and bigram counts cover all documents. Both grow with the corpus and are never gathered in one place: each chunk of
+documents sends its distinct words and bigrams as 64-bit keys, with its own counts, to their buckets; a bucket sums them
+up and answers each chunk with the totals of just the keys that it sent.
 """
 
 from __future__ import annotations
@@ -21,175 +20,121 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.chunks import chunk_table, groups, opened, rows_of
 from tidewire.llm.common import bounded_batches, mix64, staged
-from tidewire.llm.textarrays import words_of
+from tidewire.llm.textarrays import BASE, words_of
 
-#: Words of the vocabulary besides the unknown word and the edge of a text; weight of the unigram in the bigram's estimate.
+#: Words for which smoothing leaves room at least (a larger vocabulary has room for its own); weight of the unigram in the bigram's estimate.
 VOCABULARY, WEIGHT = 65_534, 50.0
-UNKNOWN, EDGE = VOCABULARY, VOCABULARY + 1
-#: Distinct words that a task holds before it sends them on; bytes of text for a bucket of bigrams.
-MOST_HELD, BUCKET = 1_000_000, 32 << 20
+#: The edge of a text, as a word's hash; bytes of text for a bucket of keys.
+EDGE, BUCKET = np.uint64(0xC2B2AE3D27D4EB4F), 16 << 20
 MOST_BROADCAST = 1_000_000
 
 
-def _count_words(parts: int):
-    def flush(held: dict[str, np.ndarray]) -> pa.RecordBatch:
-        bucket = (held["word"] % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(parts + 1))
-        some = np.flatnonzero(np.diff(edges))
-        blobs = [[held[c][order[edges[b] : edges[b + 1]]].tobytes() for b in some] for c in ("word", "n", "t")]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], ["bucket", "word", "n", "t"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-        for row in rows_of(batches):
-            _, offsets, raw = opened(row)
-            w = words_of(raw, offsets)
-            target = np.frombuffer(row["flags"], np.int8)[w.doc]
-            word, place = np.unique(w.hash, return_inverse=True)
-            held.append((word, np.bincount(place, minlength=len(word)), np.bincount(place, weights=target, minlength=len(word)).astype(np.int64)))
-            size += len(word)
-            if size > MOST_HELD:
-                held = [merged(held)]
-                if len(held[0][0]) > MOST_HELD // 2:
-                    yield flush(dict(zip(("word", "n", "t"), held[0], strict=True)))
-                    held = []
-                size = sum(len(x[0]) for x in held)
-        if held:
-            yield flush(dict(zip(("word", "n", "t"), merged(held), strict=True)))
-
-    return run
-
-
-def merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One sorted table of (key, counts, counts) from several."""
-    key, place = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-    n, t = (np.bincount(place, weights=np.concatenate([x[i] for x in held]), minlength=len(key)).astype(np.int64) for i in (1, 2))
-    return key, n, t
-
-
-def _sum_words(most: int):
-    """Per bucket its most frequent words (no more can be in the vocabulary), and its totals in a row without word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, "bucket"):
-            word, n, target = merged([(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int64)) for a, b, c in zip(*[t[c].to_pylist() for c in ("word", "n", "t")], strict=True)])
-            top = np.lexsort((word.view(np.int64), -n))[:most]
-            yield pa.RecordBatch.from_arrays([pa.array(word[top].view(np.int64)), pa.array(n[top]), pa.array(target[top])], ["word", "n", "t"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([int(n.sum())]), pa.array([int(target.sum())])], ["word", "n", "t"])
-
-    return run
-
-
-def bigrams(raw: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, word before, word) of each token, the end of a text being one: ids in the vocabulary of sorted hashes."""
+def keys_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key of the word before, key of the word, key of both) of each token, the end of a text being one. Keys of words are odd, others even."""
     w = words_of(raw, offsets)
-    at = np.searchsorted(vocabulary, w.hash) if len(vocabulary) else np.zeros(len(w.hash), np.int64)
-    at[at >= len(vocabulary)] = 0
-    ids = np.where(vocabulary[at] == w.hash, at, UNKNOWN) if len(vocabulary) else np.full(len(w.hash), UNKNOWN)
     some = np.flatnonzero(w.counts)
     first = (np.cumsum(w.counts) - w.counts)[some]
-    before = np.insert(ids, first, EDGE)  # each text starts with the edge ...
-    after = np.insert(ids, first + w.counts[some], EDGE)  # ... and ends with it
-    return np.repeat(some, w.counts[some] + 1), before, after
+    before = np.insert(w.hash, first, EDGE) | np.uint64(1)  # each text starts with the edge ...
+    after = np.insert(w.hash, first + w.counts[some], EDGE) | np.uint64(1)  # ... and ends with it
+    return np.repeat(some, w.counts[some] + 1), before, after, mix64(before * BASE + after) & ~np.uint64(1)
 
 
-def _coded(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return (before.astype(np.uint32) << np.uint32(16)) | after.astype(np.uint32)
+def _edges(code: np.ndarray, parts: int) -> np.ndarray:
+    """Edges of the buckets in sorted keys; a bucket is a range of keys."""
+    return np.searchsorted((code >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
 
-def _by_bucket(code: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order of distinct codes by bucket, edges of the buckets)."""
-    bucket = (mix64(code) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(parts + 1))
+def _packed(code: np.ndarray) -> bytes:
+    """Sorted keys as differences, bytes of equal weight together, of which the highest are mostly zero."""
+    return np.ascontiguousarray(np.diff(code, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _send(vocabulary: np.ndarray, parts: int):
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _send(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             _, offsets, raw = opened(row)
-            doc, before, after = bigrams(raw, offsets, vocabulary)
+            doc, _, after, both = keys_of(raw, offsets)
             if not len(doc):
                 continue
-            code, place = np.unique(_coded(before, after), return_inverse=True)
-            n = np.bincount(place, minlength=len(code)).astype("<u4")
-            t = np.bincount(place, weights=np.frombuffer(row["flags"], np.int8)[doc], minlength=len(code)).astype("<u4")
-            order, edges = _by_bucket(code, parts)
+            code, place = np.unique(np.concatenate([after, both]), return_inverse=True)
+            n = np.bincount(place, minlength=len(code))
+            t = np.bincount(place, weights=np.tile(np.frombuffer(row["flags"], np.int8)[doc], 2), minlength=len(code)).astype(np.int64)
+            edges = _edges(code, parts)
             some = np.flatnonzero(np.diff(edges))
-            blobs = [[x[order[edges[b] : edges[b + 1]]].tobytes() for b in some] for x in (code, n, t)]
+            blobs = [[f(x[edges[b] : edges[b + 1]]) for b in some] for x, f in ((code, _packed), (n, _byte), (t, _byte))]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([row["chunk_id"]] * len(some), pa.int64()), *[pa.array(x, pa.binary()) for x in blobs]], ["bucket", "chunk_id", "code", "n", "t"])
 
     return run
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Totals of each bucket's bigrams, for each chunk in the order in which it sent them."""
-    for t in groups(batches, "bucket"):
-        codes = [np.frombuffer(x, "<u4") for x in t["code"].to_pylist()]
+    """Totals of each bucket's keys, for each chunk in the order in which it sent them; and a row without chunk: distinct words, and their counts."""
+    names = ["chunk_id", "bucket", "n", "t", "words", "words_n", "words_t"]
+    for table in groups(batches, "bucket"):
+        codes = [_unpacked(x) for x in table["code"].to_pylist()]
         distinct, place = np.unique(np.concatenate(codes), return_inverse=True)
-        totals = [np.bincount(place, weights=np.frombuffer(b"".join(t[c].to_pylist()), "<u4"), minlength=len(distinct)).astype("<i8") for c in ("n", "t")]
+        totals = []
+        for c in ("n", "t"):
+            own = np.concatenate([_long(x, len(code), "u1") for x, code in zip(table[c].to_pylist(), codes, strict=True)])
+            totals.append(np.bincount(place, weights=own, minlength=len(distinct)).astype(np.int64))
         edges = np.cumsum([0, *map(len, codes)])
         blobs = [[_short(total[place[a:b]]) for a, b in zip(edges, edges[1:], strict=False)] for total in totals]
-        yield pa.RecordBatch.from_arrays([t["chunk_id"].combine_chunks(), t["bucket"].combine_chunks(), *[pa.array(x, pa.binary()) for x in blobs]], ["chunk_id", "bucket", "n", "t"])
+        yield pa.RecordBatch.from_arrays([table["chunk_id"].combine_chunks(), table["bucket"].combine_chunks(), *[pa.array(x, pa.binary()) for x in blobs], *[pa.nulls(len(codes), pa.int64())] * 3], names)
+        word = (distinct & np.uint64(1)).astype(bool)
+        sums = [int(word.sum()), *(int(total[word].sum()) for total in totals)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.binary())] * 2, *[pa.array([x], pa.int64()) for x in sums]], names)
 
 
-def _short(x: np.ndarray) -> bytes:
-    """Integers in two bytes each; those that need more follow in eight."""
-    big = x >= 0xFFFF
-    return np.where(big, 0xFFFF, x).astype("<u2").tobytes() + x[big].astype("<i8").tobytes()
+def _short(x: np.ndarray, kind: str = "<u2") -> bytes:
+    """Integers in two bytes each, or one; those that need more follow in eight."""
+    most = np.iinfo(kind).max
+    big = x >= most
+    return np.where(big, most, x).astype(kind).tobytes() + x[big].astype("<i8").tobytes()
 
 
-def _long(blob: bytes, n: int) -> np.ndarray:
-    x = np.frombuffer(blob, "<u2", n).astype(np.int64)
-    big = x == 0xFFFF
-    x[big] = np.frombuffer(blob, "<i8", int(big.sum()), 2 * n)
-    return x
+def _byte(x: np.ndarray) -> bytes:
+    return _short(x, "u1")
 
 
-def _score(vocabulary: np.ndarray, unigrams: np.ndarray, parts: int):
-    """unigrams: (2, VOCABULARY + 2) counts of each word in the background and in the target."""
-    total = unigrams.sum(1, keepdims=True)
-    alone = (unigrams + 1) / (total + unigrams.shape[1])
+def _long(blob: bytes, n: int, kind: str = "<u2") -> np.ndarray:
+    x = np.frombuffer(blob, kind, n).astype(np.int64)
+    big = x == np.iinfo(kind).max
+    x[big] = np.frombuffer(blob, "<i8", int(big.sum()), n * np.dtype(kind).itemsize)
+    return x
+
 
-    def losses(model: int, pair: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        return -np.log((pair + WEIGHT * alone[model, after]) / (unigrams[model, before] + WEIGHT))
+def _score(total: np.ndarray, size: int, parts: int):
+    """total: tokens of the background and of the target; size: words for which smoothing leaves room."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             docs, offsets, raw = opened(row)
-            doc, before, after = bigrams(raw, offsets, vocabulary)
-            code, place = np.unique(_coded(before, after), return_inverse=True)
-            order, edges = _by_bucket(code, parts)
-            pairs = np.zeros((2, len(code)), np.int64)
+            doc, before, after, both = keys_of(raw, offsets)
+            code, place = np.unique(np.concatenate([after, both]), return_inverse=True)
+            edges = _edges(code, parts)
+            counts = np.zeros((2, len(code)), np.int64)
             for x in row["totals"] or []:
-                own = order[edges[x["bucket"]] : edges[x["bucket"] + 1]]
+                a, b = edges[x["bucket"]], edges[x["bucket"] + 1]
                 for i, c in enumerate(("n", "t")):
-                    pairs[i, own] = _long(x[c], len(own))
-            h, w = (code >> np.uint32(16)).astype(np.int64), (code & np.uint32(0xFFFF)).astype(np.int64)
+                    counts[i, a:b] = _long(x[c], b - a)
+            head, word, pair = np.searchsorted(code, before), place[: len(doc)], place[len(doc) :]
             tokens = np.bincount(doc, minlength=len(docs))
-            background, target = (np.bincount(doc, weights=losses(i, pairs[i], h, w)[place], minlength=len(docs)) / np.maximum(tokens, 1) for i in (0, 1))
+            means = []
+            for i in (0, 1):
+                alone = (counts[i, word] + 1) / (total[i] + size)
+                losses = -np.log((counts[i, pair] + WEIGHT * alone) / (counts[i, head] + WEIGHT))
+                means.append(np.bincount(doc, weights=losses, minlength=len(docs)) / np.maximum(tokens, 1))
+            background, target = means
             nulls = np.frombuffer(row["nulls"], np.int8).astype(bool)
             yield pa.RecordBatch.from_arrays([pa.array(docs, mask=nulls), pa.array(tokens.astype(np.int64)), pa.array(target), pa.array(background), pa.array(target - background)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     return run
 
 
-def count_to_pass(counts: DataFrame, most: int) -> int:
-    """The least count that at most `most` words exceed. Counts are gathered by eighths of powers of two, then one such bucket by count."""
-    eighth = F.floor(F.log2("n") * 8)
-    passed = 0
-    for row in sorted(counts.groupBy(eighth.alias("b")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
-        if passed + row["words"] > most:
-            for n, words in counts.where(eighth == row["b"]).groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
-                if passed + words > most:
-                    return n
-                passed += words
-        passed += row["words"]
-    return 0
-
-
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Per row: doc_id, n_tokens (words and the end), target_loss, background_loss (mean over tokens, in nats), score.
 
@@ -208,30 +153,12 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     chunks = chunk_table(rows)
     size = chunks.agg(F.sum(F.length("raw"))).first()[0] or 0
     parts = max(parts, -(-size // BUCKET))
-    words = chunks.select("chunk_id", "docs", "flags", "offsets", "raw").mapInArrow(_count_words(parts), "bucket long, word binary, n binary, t binary")
-    counts = staged(words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_sum_words(VOCABULARY), "word long, n long, t long"), "words")
-    # at most VOCABULARY rows come to the driver, and two sums
-    known = counts.where(F.col("word").isNotNull())
-    top = known.where(F.col("n") > count_to_pass(known, VOCABULARY)).toPandas()
-    total = counts.where(F.col("word").isNull()).agg(F.sum("n"), F.sum("t")).first()
-    top["hash"] = top["word"].to_numpy(np.int64).view(np.uint64)
-    top = top.sort_values("hash")
-    vocabulary = top["hash"].to_numpy(np.uint64)
-    pairs = staged(chunks.select("chunk_id", "docs", "flags", "offsets", "raw").mapInArrow(_send(vocabulary, parts), "bucket long, chunk_id long, code binary, n binary, t binary").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk_id long, bucket long, n binary, t binary"), "totals")
-    texts, target_texts = chunks.mapInArrow(_texts, "n long, t long").agg(F.sum("n"), F.sum("t")).first()
-    unigrams = np.zeros((2, VOCABULARY + 2))
-    for i, (c, edge) in enumerate((("n", texts), ("t", target_texts))):
-        unigrams[i, : len(top)] = top[c]
-        unigrams[i, UNKNOWN] = (total[i] or 0) - top[c].sum()
-        unigrams[i, EDGE] = edge or 0
-    totals = pairs.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "n", "t")).alias("totals"))
+    sent = chunks.select("chunk_id", "docs", "flags", "offsets", "raw").mapInArrow(_send(parts), "bucket long, chunk_id long, code binary, n binary, t binary")
+    answers = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk_id long, bucket long, n binary, t binary, words long, words_n long, words_t long")
+    answers = staged(answers, "totals")
+    # only these three sums come to the driver; the edge is one of the words
+    words, *total = (x or 0 for x in answers.where(F.col("chunk_id").isNull()).agg(F.sum("words"), F.sum("words_n"), F.sum("words_t")).first())
+    vocabulary = max(VOCABULARY, words - 1) + 2
+    totals = answers.where(F.col("chunk_id").isNotNull()).groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "n", "t")).alias("totals"))
     joined = chunks.join(totals.hint("shuffle_hash"), "chunk_id", "left").select("docs", "nulls", "offsets", "raw", "totals")
-    return joined.mapInArrow(_score(vocabulary, unigrams, parts), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per chunk the numbers of texts with words, and of targets among them."""
-    for row in rows_of(batches):
-        _, offsets, raw = opened(row)
-        some = words_of(raw, offsets, hashes=False).counts > 0
-        yield pa.RecordBatch.from_arrays([pa.array([int(some.sum())]), pa.array([int((some & (np.frombuffer(row["flags"], np.int8) > 0)).sum())])], ["n", "t"])
+    return joined.mapInArrow(_score(np.array(total, float), vocabulary, parts), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
