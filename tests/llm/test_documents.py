@@ -283,6 +283,20 @@ def test_wrapped_base64(width):
     assert secrets.scan_text(cut)[2]
 
 
+def test_streams_are_read_to_the_end(docs_of, monkeypatch):
+    two = base64.b64encode(gzip.compress(b"nothing here") + gzip.compress(b" token=abc123")).decode()
+    base, added, guarded = secrets.scan_text(two)
+    assert [k for *_, k in added] == ["base64.zip.assign"] and not guarded
+    monkeypatch.setattr(secrets, "MOST_INFLATED", 1000)
+    long = base64.b64encode(zlib.compress(b"word " * 2000 + b"token=abc123 " + b"word " * 900)).decode()
+    base, added, guarded = secrets.scan_text(long)
+    assert [k for *_, k in added] == ["base64.zip.assign"] and guarded
+    monkeypatch.undo()
+    bare = base64.b64encode(gzip.compress(bytes(range(32, 127)) * 3)[:-12]).decode()
+    assert secrets.scan_text(bare)[1:] == ([], True)
+    assert secrets.redact_documents(docs_of([(1, f"a {bare} b")])).first().text == "a [secret] b"
+
+
 # --- 7
 
 

@@ -43,8 +43,10 @@ BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 LEAST_BASE64 = 16
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
 
-#: A compressed layer larger than this is a bomb: its first part of this size is scanned and the text is flagged.
-MOST_INFLATED = 64 << 20
+#: A compressed layer larger than this is scanned in windows of this size and the text is flagged, as encoded runs longer
+#: than the overlap may be cut.
+MOST_INFLATED, OVERLAP = 64 << 20, 1 << 20
+WHOLE, WINDOW, OPEN = range(3)
 
 
 @dataclass(slots=True)
@@ -77,20 +79,39 @@ def _readable(raw: bytes) -> str | None:
     return text if text and good >= 0.95 * len(text) else None
 
 
-def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
-    """Bytes of a gzip or zlib stream, and if it was cut at MOST_INFLATED or ends too early; None for other bytes."""
+def _inflate(raw: bytes) -> Iterator[tuple[bytes, int]]:
+    """Bytes of a gzip (all members) or zlib stream, WHOLE, or OPEN if it ends too early, or in several parts as WINDOW; nothing for other bytes."""
     if raw[:2] == b"\x1f\x8b":
         bits = 31
     elif len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
         bits = 15
     else:
-        return None, False
-    try:
-        worker = zlib.decompressobj(bits)
-        out = worker.decompress(raw, MOST_INFLATED)
-        return out, not worker.eof
-    except (zlib.error, gzip.BadGzipFile):
-        return None, False
+        return
+    worker, rest, held, state, some = zlib.decompressobj(bits), raw, b"", WHOLE, False
+    while True:
+        try:
+            piece = worker.decompress(rest, MOST_INFLATED - len(held))
+        except zlib.error:
+            if some:
+                yield held, max(state, OPEN if state == WHOLE else WINDOW)
+            return
+        some, held = some or worker.eof, held + piece
+        if worker.eof:
+            rest = worker.unused_data
+            if bits == 31 and rest[:2] == b"\x1f\x8b":
+                worker = zlib.decompressobj(bits)
+            else:
+                yield held, state
+                return
+        else:
+            stuck, rest = not piece and len(worker.unconsumed_tail) == len(rest), worker.unconsumed_tail
+            if len(held) < MOST_INFLATED and (stuck or not rest):
+                yield held, OPEN if state == WHOLE else WINDOW
+                return
+        if len(held) >= MOST_INFLATED:
+            state, some = WINDOW, True
+            yield held, state
+            held = held[-min(OVERLAP, MOST_INFLATED // 2) :]
 
 
 def _unit(token: str) -> str:
@@ -126,16 +147,15 @@ def _url(token: str) -> str:
     return binascii.unhexlify(token.replace("%", "")).decode("utf-8", "replace")
 
 
-def _packed(layer: Layer, a: int, b: int, raw: bytes, via: str) -> tuple[Layer | None, bool]:
-    inflated, cut = _inflate(raw)
-    if inflated is not None:
-        raw, via = inflated, f"{via}.zip"
-    if cut and len(raw) < MOST_INFLATED:
-        text = raw.decode("utf-8", "ignore")
-        text = _readable(text.encode())
-    else:
-        text = _readable(raw) if not cut else raw.decode("utf-8", "replace")
-    return (Layer(text, *layer.span(a, b), via) if text else None), cut
+def _packed(layer: Layer, a: int, b: int, raw: bytes, via: str) -> Iterator[tuple[Layer, int]]:
+    place, plain = layer.span(a, b), True
+    for part, state in _inflate(raw):
+        plain = False
+        text = part.decode("utf-8", "replace") if state == WINDOW else _readable(part if state == WHOLE else part.decode("utf-8", "ignore").encode())
+        if text:
+            yield Layer(text, *place, f"{via}.zip"), state
+    if plain and (text := _readable(raw)):
+        yield Layer(text, *place, via), WHOLE
 
 
 def _base64(run: str) -> bytes | None:
@@ -176,46 +196,60 @@ def _children(layer: Layer) -> Iterator[tuple[Layer, bool]]:
         raw = _base64(run)
         if raw is None:
             continue
-        child, cut = _packed(layer, a, b, raw, f"{prefix}base64")
-        if child and cut:
-            open_ended.append((a, b, child))
-        elif child:
-            whole.append((a, b))
-            yield child, False
+        for child, state in _packed(layer, a, b, raw, f"{prefix}base64"):
+            if state == OPEN:
+                open_ended.append((a, b, child))
+            else:
+                whole.append((a, b))
+                yield child, state == WINDOW
     # part of a stream that another choice of lines has read to its end is not incomplete
     for a, b, child in open_ended:
         if not any(x <= a and b <= y for x, y in whole):
             yield child, True
     for m in HEX_RUN.finditer(layer.text):
-        child, cut = _packed(layer, m.start(), m.end(), binascii.unhexlify(m[0]), f"{prefix}hexed")
-        if child:
-            yield child, cut
+        for child, state in _packed(layer, m.start(), m.end(), binascii.unhexlify(m[0]), f"{prefix}hexed"):
+            yield child, state != WHOLE
 
 
-def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], bool]:
-    """Base spans, spans that decoded layers add (kind is the layers, then the detector), and if a layer was cut."""
+def scan_places(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], set[tuple[int, int]]]:
+    """Base spans, spans that decoded layers add (kind is the layers, then the detector), and the places of layers in windows or without end."""
     base = base_spans(text)
     known, added = set(base), set()
-    queue, seen, guarded = deque([Layer(text, range(len(text)), range(1, len(text) + 1), "")]), set(), False
-    while queue:
-        layer = queue.popleft()
-        for child, cut in _children(layer):
-            guarded |= cut
-            place = child.span(0, len(child.text))
-            key = (hashlib.blake2b(child.text.encode("utf-8", "replace"), digest_size=16).digest(), place)
-            if key in seen:
-                continue
-            seen.add(key)
-            for a, b, kind in base_spans(child.text):
-                at = child.span(a, b)
-                if (*at, kind) not in known:
-                    known.add((*at, kind))
-                    added.add((*at, f"{child.via}.{kind}"))
-            queue.append(child)
+    seen, guarded = set(), set()
+
+    def walk(start: Layer) -> None:
+        queue = deque([start])
+        while queue:
+            layer = queue.popleft()
+            for child, cut in _children(layer):
+                place = child.span(0, len(child.text))
+                if cut:
+                    guarded.add(place)
+                key = (hashlib.blake2b(child.text.encode("utf-8", "replace"), digest_size=16).digest(), place)
+                if key in seen:
+                    continue
+                seen.add(key)
+                for a, b, kind in base_spans(child.text):
+                    at = child.span(a, b)
+                    if (*at, kind) not in known:
+                        known.add((*at, kind))
+                        added.add((*at, f"{child.via}.{kind}"))
+                if cut:
+                    walk(child)  # one window is held at a time
+                else:
+                    queue.append(child)
+
+    walk(Layer(text, range(len(text)), range(1, len(text) + 1), ""))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(added, key=lambda x: (x[0], order.get(x[2], 9), x[2], x[1])), guarded
 
 
+def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], bool]:
+    """As scan_places, with only if there are such layers."""
+    base, added, guarded = scan_places(text)
+    return base, added, bool(guarded)
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
@@ -244,15 +278,15 @@ def _scan(redacted: bool):
             hits = pc.match_substring_regex(texts, HINT)
             counts, digests, spans, guards, plain = [[], [], []], [], [], [], []
             for hit, text in zip(hits.to_pylist(), texts, strict=True):
-                base, more, guarded = scan_text(text.as_py()) if hit else ([], [], False)
+                base, more, guarded = scan_places(text.as_py()) if hit else ([], [], set())
                 for i, kind in enumerate(KINDS):
                     counts[i].append(sum(x[2] == kind for x in base))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest() if base else empty)
                 both = sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]) if x[2] in KINDS else 9, x[2], x[1]))
                 spans.append(joined(both))
-                guards.append(guarded)
+                guards.append(bool(guarded))
                 if redacted:
-                    plain.append(redact(text.as_py(), both) if both else None)
+                    plain.append(redact(text.as_py(), [*both, *((*x, "") for x in guarded)]) if both or guarded else None)
             columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(guards, pa.bool_())]
             names = ["key", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "guarded"]
             if redacted:
@@ -274,14 +308,14 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, guarded.
 
     A null text is scanned as the empty text and has no spans; repeated rows are scanned each; a null doc_id is kept.
-    `guarded` is true where a compressed layer was larger than MOST_INFLATED, or its stream ended too early, and only its
-    first part was scanned.
+    `guarded` is true where a compressed layer was larger than MOST_INFLATED and scanned in windows, or its stream ended
+    too early and was scanned to there.
     """
     return scan(docs, F.col("doc_id")).withColumnRenamed("key", "doc_id")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with every secret in its text replaced by "[secret]", n_chars following; all other columns stay."""
+    """docs with every secret and every guarded layer in its text replaced by "[secret]", n_chars following; all other columns stay."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(whole.alias("rest"), F.col("text").alias("text"))
     schema = rows.schema
@@ -293,9 +327,9 @@ def redact_documents(docs: DataFrame) -> DataFrame:
             out = batch.column(1).to_pylist()
             for i, hit in enumerate(hits):
                 if hit:
-                    base, more, _ = scan_text(out[i])
-                    if base or more:
-                        out[i] = redact(out[i], base + more)
+                    base, more, guarded = scan_places(out[i])
+                    if base or more or guarded:
+                        out[i] = redact(out[i], [*base, *more, *((*x, "") for x in guarded)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["rest", "text"])
 
     done = rows.mapInArrow(run, schema)
