@@ -79,6 +79,29 @@ def test_chats(spark):
     assert chat.format_chats(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({"pattern": "^a+$"}, "aa", "ab"),
+        ({"const": {"a": 1}}, {"a": 1}, {"a": 2}),
+        ({"minLength": 2, "maxLength": 3}, "abc", "a"),
+        ({"minItems": 1, "maxItems": 2}, [1], [1, 2, 3]),
+        ({"uniqueItems": True}, [1, 2], [1, 1]),
+        ({"exclusiveMinimum": 1, "exclusiveMaximum": 3}, 2, 3),
+        ({"multipleOf": 0.1}, 0.3, 0.25),
+        ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, 3, 2),
+        ({"oneOf": [{"minimum": 1}, {"minimum": 3}]}, 2, 4),
+        ({"allOf": [{"minimum": 1}, {"maximum": 3}]}, 2, 4),
+        ({"not": {"type": "null"}}, 1, None),
+        ({"$defs": {"n": {"properties": {"next": {"$ref": "#/$defs/n"}, "v": {"type": "integer"}}}}, "$ref": "#/$defs/n"}, {"next": {"v": 1}}, {"next": {"next": {"v": "x"}}}),
+        ({"additionalProperties": {"type": "integer"}}, {"a": 1}, {"a": "x"}),
+    ],
+)
+def test_schema_keywords(schema, good, bad):
+    assert chat.schema_errors(good, schema) == [] and len(chat.schema_errors(bad, schema)) == 1
+    assert chat.schema_errors(1, {"if": {}}) == ["$: unsupported if"] and chat.schema_errors(1, {"$ref": "#"}) == ["$: unsupported $ref"]
+
+
 def test_topological():
     assert chat.topological(4, {0: {3}, 2: {0}}) == [1, 3, 0, 2]
     assert chat.topological(3, {0: {1}, 1: {0}}) == [2, 0, 1]

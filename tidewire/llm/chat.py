@@ -9,7 +9,7 @@ A turn's text may hold tool calls and results as JSON objects, either as the who
 Calls and results of a conversation are joined by identifier (a hash join on conversation and identifier, so that one
 conversation with many turns spreads over the tasks), and a call may name calls that it needs in "after". Events are
 ordered topologically: a result after its call, a call after those it needs, otherwise by turn. Arguments are checked
-against the JSON Schema subset of the tool's definition, which a system turn gives as {"tools": [{"name", "parameters"}]}.
+against the JSON Schema of the tool's definition (keywords that aren't checked are errors of their own), which a system turn gives as {"tools": [{"name", "parameters"}]}.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from fractions import Fraction
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -62,11 +64,31 @@ def parse_turn(text: str | None) -> tuple[list[dict], list[dict], list[dict]]:
     return calls, results, tools
 
 
-def schema_errors(value, schema, at: str = "$") -> list[str]:
-    """What value breaks of a schema's type, enum, minimum, maximum, properties, required, additionalProperties, items."""
+#: Keywords that bind values but aren't checked; each is reported as an error of its own.
+UNSUPPORTED = ("$dynamicRef", "$recursiveRef", "contains", "dependencies", "dependentRequired", "dependentSchemas", "if", "patternProperties", "prefixItems", "propertyNames", "unevaluatedItems", "unevaluatedProperties")
+
+
+def _referred(root, ref):
+    """The schema at a pointer into the root, None if there is none."""
+    if not isinstance(ref, str) or not (ref == "#" or ref.startswith("#/")):
+        return None
+    for part in ref[2:].split("/") if len(ref) > 1 else []:
+        part = unquote(part).replace("~1", "/").replace("~0", "~")
+        if isinstance(root, list):
+            root = root[int(part)] if part.isdecimal() and int(part) < len(root) else None
+        else:
+            root = root.get(part) if isinstance(root, dict) else None
+    return root if isinstance(root, (dict, bool)) else None
+
+
+def schema_errors(value, schema, at: str = "$", root=None, refs: frozenset = frozenset()) -> list[str]:
+    """What value breaks of a schema, by all keywords but UNSUPPORTED, of which it names those that the schema has."""
+    if schema is False:
+        return [f"{at}: not allowed"]
     if not isinstance(schema, dict):
         return []
-    errors, kind = [], schema.get("type")
+    root = schema if root is None else root
+    errors, kind = [f"{at}: unsupported {x}" for x in UNSUPPORTED if x in schema], schema.get("type")
     kinds = kind if isinstance(kind, list) else [kind] if kind else []
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
 
@@ -78,24 +100,59 @@ def schema_errors(value, schema, at: str = "$") -> list[str]:
         return name in TYPES and isinstance(value, TYPES[name])
 
     if kinds and not any(is_kind(x) for x in kinds):
-        return [f"{at}: not {'|'.join(map(str, kinds))}"]
+        return [*errors, f"{at}: not {'|'.join(map(str, kinds))}"]
+    if "$ref" in schema:
+        found = _referred(root, schema["$ref"])
+        if found is None or schema["$ref"] in refs:
+            errors.append(f"{at}: unsupported $ref")
+        else:
+            errors += schema_errors(value, found, at, root, refs | {schema["$ref"]})
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        errors.append(f"{at}: const")
+    for name, fits in (("allOf", None), ("anyOf", lambda n: n > 0), ("oneOf", lambda n: n == 1)):
+        if isinstance(schema.get(name), list):
+            each = [schema_errors(value, x, at, root, refs) for x in schema[name]]
+            if fits is None:
+                errors += [e for x in each for e in x]
+            elif not fits(sum(not x for x in each)):
+                errors.append(f"{at}: {name}")
+    if "not" in schema:
+        inner = schema_errors(value, schema["not"], at, root, refs)
+        errors += [e for e in inner if ": unsupported " in e] if inner else [f"{at}: not"]
+    sizes = (("Length", str), ("Items", list), ("Properties", dict))
+    for suffix, of in sizes:
+        for name, broken in ((f"min{suffix}", lambda b: len(value) < b), (f"max{suffix}", lambda b: len(value) > b)):
+            if isinstance(value, of) and isinstance(schema.get(name), (int, float)) and broken(schema[name]):
+                errors.append(f"{at}: {name}")
+    if isinstance(value, str) and isinstance(schema.get("pattern"), str):
+        try:
+            if not re.search(schema["pattern"], value):
+                errors.append(f"{at}: pattern")
+        except re.error:
+            errors.append(f"{at}: unsupported pattern")
+    if isinstance(value, list) and schema.get("uniqueItems") is True and len(set(map(canonical, value))) < len(value):
+        errors.append(f"{at}: uniqueItems")
     if isinstance(schema.get("enum"), list) and canonical(value) not in map(canonical, schema["enum"]):
         errors.append(f"{at}: not in enum")
     if number:
-        for name, broken in (("minimum", lambda b: value < b), ("maximum", lambda b: value > b)):
-            if isinstance(schema.get(name), (int, float)) and broken(schema[name]):
+        for name, broken in (("minimum", lambda b: value < b), ("maximum", lambda b: value > b), ("exclusiveMinimum", lambda b: value <= b), ("exclusiveMaximum", lambda b: value >= b), ("multipleOf", lambda b: b > 0 and Fraction(str(value)) % Fraction(str(b)) != 0)):
+            if isinstance(schema.get(name), bool):
+                errors.append(f"{at}: unsupported {name}")
+            elif isinstance(schema.get(name), (int, float)) and broken(schema[name]):
                 errors.append(f"{at}: {name}")
     if isinstance(value, dict):
         known = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
         errors += [f"{at}.{x}: missing" for x in schema.get("required") or [] if x not in value]
         for x in sorted(value):
             if x in known:
-                errors += schema_errors(value[x], known[x], f"{at}.{x}")
+                errors += schema_errors(value[x], known[x], f"{at}.{x}", root)
             elif schema.get("additionalProperties") is False:
                 errors.append(f"{at}.{x}: unexpected")
+            else:
+                errors += schema_errors(value[x], schema.get("additionalProperties"), f"{at}.{x}", root)
     if isinstance(value, list):
         for i, x in enumerate(value):
-            errors += schema_errors(x, schema.get("items"), f"{at}[{i}]")
+            errors += schema_errors(x, schema.get("items"), f"{at}[{i}]", root)
     return errors
 
 
