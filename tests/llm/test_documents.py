@@ -178,40 +178,64 @@ def test_mix(docs_of, odd):
 # --- 5
 
 
-def test_losses(docs_of):
-    rows = [(1, "a b a b"), (2, "b a"), (3, None), (4, ""), (5, "c c c"), (1, "a b a b"), (None, "a")]
-    got = {(r.doc_id, r.n_tokens): r for r in lm_scoring.cross_entropy_difference(docs_of(rows, extra=True), docs_of([(1, "x"), (None, "y")])).collect()}
-    u, b = [Counter(), Counter()], [Counter(), Counter()]
-    for i, t in rows:
-        w = (t or "").split()
-        if w:
-            seq = ["", *w, ""]
-            for m in [0, 1] if i == 1 else [0]:
-                u[m].update(seq[1:])
-                b[m].update(zip(seq, seq[1:], strict=False))
-    size = lm_scoring.VOCABULARY + 2
-    for i, t in rows:
-        seq = ["", *t.split(), ""] if t else []
-        n = max(0, len(seq) - 1)
-        loss = [sum(-math.log((b[m][h, w] + lm_scoring.WEIGHT * (u[m][w] + 1) / (sum(u[m].values()) + size)) / (u[m][h] + lm_scoring.WEIGHT)) for h, w in zip(seq, seq[1:], strict=False)) / max(1, n) for m in (0, 1)]
-        r = got[i, n]
-        assert math.isclose(r.background_loss, loss[0], abs_tol=1e-12) and math.isclose(r.target_loss, loss[1], abs_tol=1e-12)
-        assert math.isclose(r.score, loss[1] - loss[0], abs_tol=1e-12)
-    assert got[1, 5].score < got[5, 4].score
+def brute_losses(rows, targets):
+    """{row: (tokens, target loss, background loss)}, each row being scored without its own counts."""
+    def seq(t):
+        w = WORD.findall(t or "")
+        return [None, *w, None] if w else []
+
+    u, b, model = [Counter(), Counter()], [Counter(), Counter()], [[0, 1] if i in targets else [0] for i, _ in rows]
+    for (_, t), ms in zip(rows, model, strict=True):
+        for m in ms:
+            u[m].update(seq(t)[1:])
+            b[m].update(zip(seq(t), seq(t)[1:], strict=False))
+    n = [sum(x.values()) for x in u]
+    share, size = (n[1] / n[0] if n[1] else 1, 1), len(u[0]) + 1
+    out = []
+    for (i, t), ms in zip(rows, model, strict=True):
+        s, loss = seq(t), []
+        for m in (1, 0):
+            own_u, own_b = (Counter(s[1:]), Counter(zip(s, s[1:], strict=False))) if m in ms else (Counter(), Counter())
+            total = 0.0
+            for h, w in zip(s, s[1:], strict=False):
+                alone = (share[m] * (u[m][w] - own_u[w]) + 1) / (share[m] * (n[m] - sum(own_u.values())) + size)
+                total -= math.log((share[m] * (b[m][h, w] - own_b[h, w]) + lm_scoring.WEIGHT * alone) / (share[m] * (u[m][h] - own_u[h]) + lm_scoring.WEIGHT))
+            loss.append(total / max(1, len(s) - 1))
+        out.append((i, max(0, len(s) - 1), *loss))
+    return sorted(out, key=repr)
+
+
+def same_losses(got, expected):
+    assert len(got) == len(expected)
+    for x, y in zip(sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got), key=lambda r: (repr(r[0]), r[1], -r[3])), sorted(expected, key=lambda r: (repr(r[0]), r[1], -r[3])), strict=True):
+        assert x[:2] == y[:2] and np.allclose(x[2:], y[2:], rtol=1e-9, atol=1e-12)
+
+
+def test_losses(docs_of, odd, documents):
+    rows = [(1, "a b a b"), (2, "b a"), (3, None), (4, ""), (5, "c c c"), (1, "a b a b"), (None, "a"), *[(100 + i, t) for i, t in documents[:60]], (80, " ".join(["q"] * 700)), (81, " ".join(f"n{i}" for i in range(3000)))]
+    targets = {1, 80, *range(100, 130)}
+    got = lm_scoring.cross_entropy_difference(docs_of(rows, extra=True), docs_of([(i, "x") for i in targets] + [(None, "y")])).collect()
+    same_losses(got, brute_losses(rows, targets))
+    assert all(math.isclose(r.score, r.target_loss - r.background_loss, abs_tol=1e-12) for r in got)
     assert lm_scoring.cross_entropy_difference(docs_of([]), docs_of([])).collect() == []
+    with pytest.raises(TypeError):
+        lm_scoring.cross_entropy_difference(docs_of(rows).selectExpr("cast(doc_id as string) as doc_id", "text"), docs_of([]))
+    got = lm_scoring.cross_entropy_difference(docs_of(rows[:6]), docs_of([])).collect()
+    same_losses(got, brute_losses(rows[:6], set()))
+
+
+def test_losses_over_many_chunks(docs_of, documents, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK", 4000)
+    monkeypatch.setattr(lm_scoring, "BUCKET", 9000)
+    rows = [*documents[:120], (9000, documents[3][1])]
+    targets = {i for i, _ in rows if i % 3 == 0}
+    same_losses(lm_scoring.cross_entropy_difference(docs_of(rows), docs_of([(i, "x") for i in targets])).collect(), brute_losses(rows, targets))
 
 
-def test_every_word_is_in_the_vocabulary(docs_of, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "VOCABULARY", 3)
-    texts = {1: "a b c d e a b", 2: "e f g a b", 3: "h", 4: "f f f"}
-    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs_of(list(texts.items())), docs_of([(1, "x"), (3, "x")])).collect()}
-    for name, ids in (("background_loss", [1, 2, 3, 4]), ("target_loss", [1, 3])):
-        seqs = [["", *texts[i].split(), ""] for i in ids]
-        u, b = Counter(w for x in seqs for w in x[1:]), Counter(p for x in seqs for p in zip(x, x[1:], strict=False))
-        for i, t in texts.items():
-            seq = ["", *t.split(), ""]
-            loss = [-math.log((b[h, w] + lm_scoring.WEIGHT * (u[w] + 1) / (sum(u.values()) + 8 + 2)) / (u[h] + lm_scoring.WEIGHT)) for h, w in zip(seq, seq[1:], strict=False)]
-            assert math.isclose(got[i][name], sum(loss) / len(loss), abs_tol=1e-12)
+def test_two_large_vocabularies_score_apart(docs_of):
+    rows = [(1, " ".join(f"a{i % 9000}" for i in range(40_000))), (2, " ".join(f"b{i}" for i in range(40_000))), (3, " ".join(f"a{i % 9000}" for i in range(20_000, 60_000)))]
+    got = {r.doc_id: r.score for r in lm_scoring.cross_entropy_difference(docs_of(rows), docs_of([(1, "x")])).collect()}
+    assert got[3] < got[2] - 0.5
 
 
 # --- 6

@@ -39,28 +39,59 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Intermediate tables of this process that still stand: (session, path, catalog name or None).
+_scratch: list[tuple[SparkSession, str, str | None]] = []
+
+
+def scratch_path(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A new path in the shared folder, which `discard` or else the JVM's end deletes."""
+    path = f"{shared_dir(spark)}/tidewire/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path, table))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def mark() -> int:
+    """How many intermediate tables there are; `discard` takes it."""
+    return len(_scratch)
+
+
+def discard(since: int = 0, until: int | None = None) -> None:
+    """Delete the intermediate tables from number `since` on. Results that were not written yet may still read them."""
+    for spark, path, name in _scratch[since:until]:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _scratch[since:until]
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewire/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).deleteOnExit(at)
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
     nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     return spark.read.schema(nullable).parquet(path)
 
 
-def partitions(spark: SparkSession, rows: int, each: int) -> int:
-    """So many partitions that none holds more than about `each` rows, and at least the session's number."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+def plan_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of df's files as the optimizer knows them; of one column's values, by a pass over it, where it doesn't."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
 
 
-def parts_by_bytes(df: DataFrame, each: int) -> int:
-    """Partitions by the optimizer's size of df's plan (the size of its files), at least the session's number."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 200_000))
+def by_bytes(size: int, each: int, least: int = 1, most: int = 100_000) -> int:
+    """Parts of about `each` bytes; `most` is the largest number of buckets that Spark allows."""
+    return max(least, min(-(-size // each), most))
+
+
+def whole_ids(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """df, whose ids have to be whole numbers: others would become null or wrong when they are packed as 64 bits."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        raise TypeError(f"{column} is {df.schema[column].dataType.simpleString()}; whole numbers are needed")
+    return df
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

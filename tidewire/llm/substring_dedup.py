@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.llm.chunks import NO_ID, chunk_table, groups, opened, rows_of
-from tidewire.llm.common import bounded_batches, mix64, ragged, staged
+from tidewire.llm.common import bounded_batches, mix64, plan_bytes, ragged, staged, whole_ids
 from tidewire.llm.textarrays import BASE, powers
 
 LEAST, GRAM = 50, 20
@@ -367,9 +367,9 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(False).alias("flag"))
-    chunks = chunk_table(rows)
-    total = chunks.agg(F.sum(F.length("raw"))).first()[0] or 0
+    rows = whole_ids(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.lit(False).alias("flag"))
+    chunks = chunk_table(rows, plan_bytes(docs))
+    total = chunks.agg(F.sum("size")).first()[0] or 0
     bits = max(0, (max(parts, -(-total // BUCKET)) - 1).bit_length())
     keys = chunks.select("chunk_id", "docs", "offsets", "raw").mapInArrow(_send_keys(bits), "bucket long, chunk_id long, keys binary")
     marks = keys.repartition(max(parts, 1 << bits), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "chunk_id long, bucket long, bits binary, n long")
