@@ -6,7 +6,8 @@ are never compared. In each of several independent trees, documents branch by th
 SMALL documents is compared exhaustively. A larger node is compared in random blocks of that size first. If all its
 documents are in one component by then, it has nothing left to find. If few are outside of its largest component, these
 are compared with all of it. Otherwise all of its documents branch again; nodes that are still large and mixed after
-DEEP levels are compared whole. Signatures only propose: every link is confirmed on the full sets.
+DEEP levels are compared whole. Signatures only propose: every link is confirmed on the full sets. Units compare by
+sketches, one byte for each token of the signature; the tokens themselves are only read to branch.
 
 No pairs are listed within a group: a comparison unit gives a spanning forest of its confirmed links. Links become
 components by alternating large-star and small-star steps over tables in the shared folder.
@@ -27,7 +28,9 @@ from tidewire.llm.textarrays import BASE, distinct_per_doc, windows, words_of
 SHINGLE, PERCENT = 5, 75
 #: Coordinates of a signature, trees, documents of a node that is compared exhaustively, and agreeing coordinates that
 #: propose a pair: 33 of 64 is over four standard deviations below what a similarity of 0.75 gives.
-COORDINATES, TREES, SMALL, AGREE = 64, 8, 2048, 33
+COORDINATES, TREES, SMALL, AGREE = 64, 8, 1024, 33
+#: Shingles that a task of confirming holds at once; a unit of more is split into units that together hold all its pairs.
+MOST_SHINGLES = 4 << 20
 #: Levels after which a large node of several components is compared whole, which grows with the square of its size.
 DEEP = 12
 #: So many row numbers may be broadcast to select texts (8 bytes each); more are joined by a shuffle.
@@ -72,12 +75,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunked(batches, "text"):
         n = batch.num_rows
         counts, fp1, fp2, sig = signatures(*shingle_sets(*text_buffers(batch.column(batch.schema.get_field_index("text")))), n)
-        sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * COORDINATES), n, [None, pa.py_buffer(np.ascontiguousarray(sig))])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), sigs.cast(pa.binary())], [*batch.schema.names, "n_shingles", "fp1", "fp2", "sig"])
+        rows = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.itemsize * COORDINATES), n, [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()) for x in (sig, sig.astype(np.uint8))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)), *rows], [*batch.schema.names, "n_shingles", "fp1", "fp2", "sig", "sketch"])
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), COORDINATES)
+def _matrix(column: pa.Array, kind: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), COORDINATES)
 
 
 def chosen(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +104,7 @@ def _branch(level: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = _matrix(batch.column(batch.schema.get_field_index("sig")))
+            sig = _matrix(batch.column(batch.schema.get_field_index("sig")), np.uint32)
             uid = batch.column(batch.schema.get_field_index("uid"))
             roots = [np.full(batch.num_rows, t, np.int64) for t in range(TREES)] if level == 0 else [np.asarray(batch.column(0), np.int64)]
             for key in roots:
@@ -151,7 +154,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid, root, size, n = uid[order], np.asarray(t["root"], np.int64)[order], np.asarray(t["n_shingles"], np.int64)[order], len(uid)
         if (root == root[0]).all():
             continue
-        sig, label = _matrix(t["sig"].combine_chunks())[order], np.arange(len(uid))
+        sig, label = _matrix(t["sketch"].combine_chunks())[order], np.arange(len(uid))
         for i in range(n - 1):
             for x in np.unique(label[proposed(sig, size, i, i + 1 + np.flatnonzero(root[i + 1 :] != root[i]))]):
                 if x != label[i]:
@@ -160,7 +163,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = np.flatnonzero(label == x)
             if len(part) > 1:
                 name = int(np.bitwise_xor.reduce(mix64(uid[part].astype(np.uint64))).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), pa.array(uid[part]), pa.array(root[part])], ["unit", "uid", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), *[pa.array(x[part]) for x in (uid, root, size)]], ["unit", "uid", "root", "n_shingles"])
 
 
 class Sets:
@@ -191,7 +194,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in by_unit(batches):
         t = t.combine_chunks()
         uid, size = np.asarray(t["uid"], np.int64), np.asarray(t["n_shingles"], np.int64)
-        sig = _matrix(t["sig"].combine_chunks())
+        sig = _matrix(t["sketch"].combine_chunks())
         n, sets = len(uid), []
         for batch in chunked(t.select(["text"]).to_batches(), "text"):
             doc, value = shingle_sets(*text_buffers(batch.column(0)))
@@ -210,16 +213,28 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(head[some]), pa.array(uid[order][some])], ["a", "b"])
 
 
+def _bounded(units: DataFrame) -> DataFrame:
+    """Units (unit, uid, root, n_shingles) of which none holds more than about MOST_SHINGLES, or two documents, but all pairs of the given ones.
+
+    A larger unit is dealt into blocks of half that; each pair of blocks becomes a unit.
+    """
+    sized = units.groupBy("unit").agg(F.sum("n_shingles").alias("held"), F.count(F.lit(1)).alias("n")).where(F.col("held") > MOST_SHINGLES)
+    heavy = units.join(sized, "unit").withColumn("blocks", F.least("n", F.ceil(2 * F.col("held") / MOST_SHINGLES)))
+    heavy = heavy.withColumn("own", F.pmod(F.xxhash64("uid", "unit"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pairs = heavy.select(F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "uid", "root", "n_shingles")
+    return units.join(sized, "unit", "left_anti").unionByName(pairs)
+
+
 def _links(units: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (a, b) of comparison units (unit, uid, root). The texts come from sets, where they stand once."""
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = units.join(signed, "uid").repartition(parts, "unit").sortWithinPartitions("unit")
-    kept = staged(met.select("unit", "uid", "root", "n_shingles", "sig").mapInArrow(_propose, "unit long, uid long, root long").distinct(), "units")
+    met = units.join(signed.select("uid", "n_shingles", "sketch"), "uid").repartition(parts, "unit").sortWithinPartitions("unit")
+    kept = staged(met.select("unit", "uid", "root", "n_shingles", "sketch").mapInArrow(_propose, "unit long, uid long, root long, n_shingles long").distinct(), "units")
     wanted = kept.select("uid").distinct()
-    texts = sets.select("uid", "n_shingles", "sig", "text")
+    texts = sets.select("uid", "sketch", "text")
     if wanted.count() <= MOST_BROADCAST:
         texts = texts.join(F.broadcast(wanted), "uid", "left_semi")
-    full = kept.join(texts, "uid").select("unit", "uid", "root", "n_shingles", "sig", "text")
+    full = _bounded(kept).join(texts, "uid").select("unit", "uid", "root", "n_shingles", "sketch", "text")
     return full.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_confirm, "a long, b long")
 
 
@@ -243,7 +258,7 @@ def _whole(ends: DataFrame) -> DataFrame:
 
 def find_links(sets: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) between representatives (uid) whose sets are similar, enough to connect all that are found."""
-    signed = staged(sets.join(reps, "uid", "left_semi").where(F.col("n_shingles") > 0).select("uid", "n_shingles", "sig"), "representatives")
+    signed = staged(sets.join(reps, "uid", "left_semi").where(F.col("n_shingles") > 0).select("uid", "n_shingles", "sig", "sketch"), "representatives")
     nodes = signed.select("uid", "sig").mapInArrow(_branch(0), "key long, uid long")
     ends = roots = None
     level = 0
@@ -302,7 +317,7 @@ def grouped(docs: DataFrame, *, keep_row: bool = False) -> tuple[DataFrame, Data
     rest = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")] if keep_row else []
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("string").alias("text"), *rest)
     schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes)
-    sets = staged(rows.mapInArrow(_sets, f"{schema}, n_shingles long, fp1 long, fp2 long, sig binary"), "sets")
+    sets = staged(rows.mapInArrow(_sets, f"{schema}, n_shingles long, fp1 long, fp2 long, sig binary, sketch binary"), "sets")
     some = sets.where(F.col("n_shingles") > 0).select("uid", "doc_id", "n_shingles", "fp1", "fp2")
     classes = staged(some.groupBy("n_shingles", "fp1", "fp2").agg(F.min("uid").alias("rep"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")), "classes")
     roots = components(find_links(sets, classes.select(F.col("rep").alias("uid"))))
@@ -315,10 +330,12 @@ def grouped(docs: DataFrame, *, keep_row: bool = False) -> tuple[DataFrame, Data
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept.
 
-    Links need 100 * intersection >= 75 * union of the sets of distinct 5-word shingles (letters A-Z lower-cased).
+    Links need 100 * intersection >= 75 * union of the sets of distinct 5-word shingles (letters A-Z lower-cased), each of
+    which stands in its set as 52 bits of a hash of all its words: of a text of a million words, two shingles share
+    theirs with a chance of one in ten thousand, and then count as one.
     Null, empty and wordless texts have empty sets and are linked with nothing. A null doc_id never names a component
     that has another; a row without doc_id is kept if its component_id is null too. Repeated rows are linked like
-    copies. An empty table gives no rows; other columns are never read.
+    copies. Texts of any length are compared whole. An empty table gives no rows; other columns are never read.
     """
     sets, groups = grouped(docs)
     out = sets.select("uid", "doc_id", "n_shingles").join(groups, "uid", "left")
@@ -327,7 +344,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which each stands for its group: that of the smallest doc_id, one of repeated rows."""
+    """The rows of docs of which each stands for its group: that of the smallest doc_id, one of repeated rows.
+
+    Null, empty and wordless texts stay, as they are in no group; a null doc_id stands for a group only where no other
+    does. Other columns may have any names and types. An empty table stays empty.
+    """
     sets, groups = grouped(docs, keep_row=True)
     silent = staged(groups.where(F.col("first_uid") != F.col("uid")).select("uid"), "silent")
     if silent.count() <= MOST_BROADCAST:
