@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import base64
 import binascii
-import gzip
+import bz2
 import hashlib
 import html
+import lzma
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -47,19 +49,30 @@ HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){12,}(?![0-9A-Fa-f])")
 #: than the overlap may be cut.
 MOST_INFLATED, OVERLAP = 64 << 20, 1 << 20
 WHOLE, WINDOW, OPEN = range(3)
+#: Layers of escapes that are unwrapped and scanned one by one.
+ESCAPED = 8
 
 
 @dataclass(slots=True)
 class Layer:
     text: str
-    start: list[int] | int  # per character its place in layer 0, or one place for all
-    end: list[int] | int
+    start: np.ndarray | int | None  # per character its place in layer 0; one place for all; None: its own
+    end: np.ndarray | int | None
     via: str
+    escaped: int = 0  # layers of escapes that led here
 
     def span(self, a: int, b: int) -> tuple[int, int]:
+        if self.start is None:
+            return a, b
         if isinstance(self.start, int):
             return self.start, self.end
-        return self.start[a], self.end[b - 1]
+        return int(self.start[a]), int(self.end[b - 1])
+
+    def spans(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in layer 0 of the characters from a to b."""
+        if self.start is None:
+            return np.arange(a, b), np.arange(a + 1, b + 1)
+        return self.start[a:b], self.end[a:b]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -79,35 +92,67 @@ def _readable(raw: bytes) -> str | None:
     return text if text and good >= 0.95 * len(text) else None
 
 
-def _inflate(raw: bytes) -> Iterator[tuple[bytes, int]]:
-    """Bytes of a gzip (all members) or zlib stream, WHOLE, or OPEN if it ends too early, or in several parts as WINDOW; nothing for other bytes."""
+class _Zlib:
+    """zlib's decompressor with the interface of bz2's and lzma's."""
+
+    def __init__(self, bits: int) -> None:
+        self.worker, self.tail = zlib.decompressobj(bits), b""
+
+    def decompress(self, raw: bytes, most: int) -> bytes:
+        out = self.worker.decompress(self.tail + raw, most)
+        self.tail = self.worker.unconsumed_tail
+        return out
+
+    @property
+    def eof(self) -> bool:
+        return self.worker.eof
+
+    @property
+    def unused_data(self) -> bytes:
+        return self.worker.unused_data
+
+    @property
+    def needs_input(self) -> bool:
+        return not self.tail
+
+
+def _decompressor(raw: bytes):
+    """(a new decompressor, if members may follow) by the first bytes; None for other bytes."""
     if raw[:2] == b"\x1f\x8b":
-        bits = 31
-    elif len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        bits = 15
-    else:
+        return _Zlib(31), True
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor(), True
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(), True
+    if len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        return _Zlib(15), False
+    return None
+
+
+def _inflate(raw: bytes) -> Iterator[tuple[bytes, int]]:
+    """Bytes of a compressed stream (all members), WHOLE, or OPEN if it ends too early, or in several parts as WINDOW; nothing for other bytes."""
+    if (found := _decompressor(raw)) is None:
         return
-    worker, rest, held, state, some = zlib.decompressobj(bits), raw, b"", WHOLE, False
+    (worker, several), feed, held, state, some = found, raw, b"", WHOLE, False
     while True:
         try:
-            piece = worker.decompress(rest, MOST_INFLATED - len(held))
-        except zlib.error:
+            piece = worker.decompress(feed, MOST_INFLATED - len(held))
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
             if some:
                 yield held, max(state, OPEN if state == WHOLE else WINDOW)
             return
-        some, held = some or worker.eof, held + piece
+        feed, some, held = b"", some or worker.eof, held + piece
         if worker.eof:
-            rest = worker.unused_data
-            if bits == 31 and rest[:2] == b"\x1f\x8b":
-                worker = zlib.decompressobj(bits)
+            feed = worker.unused_data
+            if several and (found := _decompressor(feed)) and found[1]:
+                worker = found[0]
             else:
                 yield held, state
                 return
-        else:
-            stuck, rest = not piece and len(worker.unconsumed_tail) == len(rest), worker.unconsumed_tail
-            if len(held) < MOST_INFLATED and (stuck or not rest):
+        elif len(held) < MOST_INFLATED and not piece and worker.needs_input:
+            if held:
                 yield held, OPEN if state == WHOLE else WINDOW
-                return
+            return
         if len(held) >= MOST_INFLATED:
             state, some = WINDOW, True
             yield held, state
@@ -130,17 +175,67 @@ def _escapes(layer: Layer, unit: re.Pattern, decode, via: str) -> Layer | None:
         plain = decode(m[0])
         text += [layer.text[at : m.start()], plain]
         if not fixed:
-            a, b = layer.span(m.start(), m.end())
-            starts += [*layer.start[at : m.start()], *[a] * len(plain)]
-            ends += [*layer.end[at : m.start()], *[b] * len(plain)]
+            (a, b), (same_a, same_b) = layer.span(m.start(), m.end()), layer.spans(at, m.start())
+            starts += [same_a, np.full(len(plain), a)]
+            ends += [same_b, np.full(len(plain), b)]
         at = m.end()
     text.append(layer.text[at:])
     out = "".join(text)
     if not out or out == layer.text:
         return None
     if fixed:
-        return Layer(out, layer.start, layer.end, via)
-    return Layer(out, [*starts, *layer.start[at:]], [*ends, *layer.end[at:]], via)
+        return Layer(out, layer.start, layer.end, via, layer.escaped + 1)
+    same_a, same_b = layer.spans(at, len(layer.text))
+    return Layer(out, np.concatenate([*starts, same_a]), np.concatenate([*ends, same_b]), via, layer.escaped + 1)
+
+
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+UNICODE_END = re.compile(r"(?:\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)\Z")
+
+
+def _closed(out: list[str]) -> int:
+    """Characters of the unit that ends out, or 0."""
+    last = out[-1]
+    if last in HEX_DIGITS:
+        for size, head in ((3, "%"), (4, "\\x"), (6, "\\u")):
+            if len(out) >= size and "".join(out[-size : len(head) - size]) == head and HEX_DIGITS.issuperset(out[len(head) - size :]):
+                return size
+    elif last in "};" and (m := UNICODE_END.search("".join(out[-10:]))):
+        return m.end() - m.start()
+    return 0
+
+
+def _collapsed(layer: Layer, via: str) -> Layer | None:
+    """The layer at the fixpoint of its escapes: one pass from the left, in which what a unit gives may end another unit."""
+    out, starts, ends = [], [], []
+    fixed = isinstance(layer.start, int)
+    a, b = ([0] * len(layer.text),) * 2 if fixed else (x.tolist() for x in layer.spans(0, len(layer.text)))
+    for c, x, y in zip(layer.text, a, b, strict=True):
+        out.append(c)
+        starts.append(x)
+        ends.append(y)
+        while size := _closed(out):
+            token, x = "".join(out[-size:]), starts[-size]
+            plain = bytes([int(token[1:], 16)]).decode("ascii", "surrogateescape") if token[0] == "%" else _unit(token)
+            if plain == token:
+                break
+            out[-size:], starts[-size:], ends[-size:] = list(plain), [x] * len(plain), [y] * len(plain)
+    text, at, places = [], 0, ([], [])
+    for m in re.finditer(r"[\udc80-\udcff]+|[^\udc80-\udcff]+", "".join(out)):
+        raw = m[0]
+        if "\udc80" <= raw[0] <= "\udcff":  # bytes of escaped UTF-8
+            raw = raw.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+            places[0].append(np.full(len(raw), starts[at]))
+            places[1].append(np.full(len(raw), ends[m.end() - 1]))
+        else:
+            places[0].append(np.array(starts[at : m.end()]))
+            places[1].append(np.array(ends[at : m.end()]))
+        text.append(raw)
+        at = m.end()
+    plain = "".join(text)
+    if not plain or plain == layer.text:
+        return None
+    return Layer(plain, *((layer.start, layer.end) if fixed else map(np.concatenate, places)), via, layer.escaped + 1)
 
 
 def _url(token: str) -> str:
@@ -186,9 +281,12 @@ def wrapped(text: str) -> Iterator[tuple[int, int, str]]:
 
 def _children(layer: Layer) -> Iterator[tuple[Layer, bool]]:
     prefix = f"{layer.via}." if layer.via else ""
-    if "%" in layer.text and (child := _escapes(layer, URL_UNIT, _url, f"{prefix}url")):
+    if layer.escaped >= ESCAPED:
+        if layer.escaped == ESCAPED and ("%" in layer.text or "\\" in layer.text or "&#" in layer.text) and (child := _collapsed(layer, f"{prefix}nested")):
+            yield child, False
+    elif "%" in layer.text and (child := _escapes(layer, URL_UNIT, _url, f"{prefix}url")):
         yield child, False
-    if ("\\" in layer.text or "&#" in layer.text) and (child := _escapes(layer, UNICODE_UNIT, _unit, f"{prefix}unicode")):
+    if layer.escaped < ESCAPED and ("\\" in layer.text or "&#" in layer.text) and (child := _escapes(layer, UNICODE_UNIT, _unit, f"{prefix}unicode")):
         yield child, False
     whole: list[tuple[int, int]] = []
     open_ended: list[tuple[int, int, Layer]] = []
@@ -239,7 +337,7 @@ def scan_places(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
                 else:
                     queue.append(child)
 
-    walk(Layer(text, range(len(text)), range(1, len(text) + 1), ""))
+    walk(Layer(text, None, None, ""))
     order = {k: i for i, k in enumerate(KINDS)}
     return base, sorted(added, key=lambda x: (x[0], order.get(x[2], 9), x[2], x[1])), guarded
 
@@ -307,7 +405,9 @@ def scan(docs: DataFrame, key: Column, *, redacted: bool = False) -> DataFrame:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, guarded.
 
-    A null text is scanned as the empty text and has no spans; repeated rows are scanned each; a null doc_id is kept.
+    A null text is scanned as the empty text and has no spans; repeated rows are scanned each; a null doc_id is kept. A
+    text of any length is scanned whole; its layers take some twenty times its size while it is. An empty table gives no
+    rows; other columns are never read.
     `guarded` is true where a compressed layer was larger than MOST_INFLATED and scanned in windows, or its stream ended
     too early and was scanned to there.
     """
@@ -315,7 +415,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with every secret and every guarded layer in its text replaced by "[secret]", n_chars following; all other columns stay."""
+    """docs with every secret and every guarded layer in its text replaced by "[secret]", n_chars following; all other columns stay.
+
+    A null or empty text stays as it is; repeated rows are redacted each; other columns may have any names and types. An
+    empty table stays empty.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(whole.alias("rest"), F.col("text").alias("text"))
     schema = rows.schema
