@@ -47,6 +47,13 @@ def test_rules_on_odd_rows(docs_of, odd):
     assert quality_rules.judge(docs_of([])).collect() == []
 
 
+def test_equal_hashes_of_other_windows_do_not_count(docs_of):
+    """Two million different words leave 43 bits of a hash, of which some windows share all: none of them is a repeat."""
+    rows = [(1, " ".join(f"{i:x}" for i in range(6_000_000))), (2, "a b c d a b c")]
+    got = {r.doc_id: r.n_repeat_words for r in quality_rules.text_stats(docs_of(rows).repartition(2)).collect()}
+    assert got == {1: 0, 2: 6}
+
+
 def test_rules_agree_with_labels(spark, sf_dir):
     sf = sf_dir.replace("0.001", "0.01")
     got = queries.op1_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
@@ -84,6 +91,18 @@ def test_packing_round_trip(docs_of, odd):
     assert packing.pack_documents(docs_of([]), PATH).collect() == []
 
 
+def test_contract_ids(docs_of, documents):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(PATH)
+    rows = [*documents[:100], (9000, "a <|endoftext|> b"), (9001, "<|endoftext|>"), (9002, "x<|endoftext|><|endoftext|> <|endoftext |>")]
+    got = {(p.doc_id, p.start): p for p in packing.pack_documents(docs_of(rows), PATH).collect()}
+    for i, t in rows:
+        ids = [*fresh.encode(t or "", add_special_tokens=False).ids, 0]
+        for a, m in packing.cut(len(ids), 2048):
+            assert (got[i, a].length, got[i, a].ids_crc32) == (m, zlib.crc32(np.array(ids[a : a + m], "<u4").tobytes()))
+
+
 def test_tokenizers_agree(documents):
     import pyarrow as pa
 
@@ -171,8 +190,27 @@ def test_mix(docs_of, odd):
     assert math.isclose(sum(k[1] for k in taken), 1.5 * sum(by_size.values()))
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix_sources(docs_of(rows[::-1]), bucket_docs=4).collect()), key=repr)
     assert mixing.mix_sources(docs_of([])).collect() == []
-    mixed = mixing.mixed_corpus(docs_of(rows)).collect()
-    assert sum(len(WORD.findall(r.text)) for r in mixed) == sum(taken.values())
+    mixed = mixing.mixed_corpus(docs_of(rows, extra=True)).collect()
+    assert sum(len(WORD.findall(r.text)) for r in mixed) == sum(taken.values()) and mixed[0]["size"] == "clash"
+    assert mixing.mixed_corpus(docs_of([])).collect() == []
+
+
+def test_cut_texts_keep_their_lines(docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGES", 3)
+    text = "  one two\n\nthree\tfour  \x0bfive six\n seven "
+    rows = [(i, text, f"s{i % 4}") for i in range(61)]
+    plan = {r.doc_id: r for r in mixing.mix_sources(docs_of(rows), bucket_docs=2).collect()}
+    by = defaultdict(list)
+    for r in mixing.mixed_corpus(docs_of(rows), bucket_docs=2).collect():
+        by[r.doc_id].append(r)
+    cut = 0
+    for i, _, _ in rows:
+        whole, rest = divmod(plan[i].taken, 7)
+        assert sorted(len(WORD.findall(r.text)) for r in by[i]) == sorted([7] * whole + [rest] * bool(rest))
+        for r in by[i]:
+            assert text.startswith(r.text) and r.n_chars == len(r.text)
+            cut += r.text != text and not r.text[-1].isspace()
+    assert cut >= 2
 
 
 # --- 5
@@ -321,6 +359,95 @@ def test_streams_are_read_to_the_end(docs_of, monkeypatch):
     assert secrets.redact_documents(docs_of([(1, f"a {bare} b")])).first().text == "a [secret] b"
 
 
+def test_deep_escapes_take_linear_time():
+    import time
+
+    for text, kind in (("%" + "25" * 20_000 + "41KIA" + "A" * 20, "nested.access"), ("\\u005c" + "u005c" * 3000 + "u0074oken=abcdef", "nested.assign"), ("&#38;" + "#38;" * 3000 + "#116;oken=abcdef", "nested.assign")):
+        began = time.perf_counter()
+        base, added, _ = secrets.scan_text(f"head {text} tail")
+        assert any(k.endswith(kind) and a == 5 and b == 5 + len(text) for a, b, k in added), kind
+        assert time.perf_counter() - began < 5
+    assert secrets._collapsed(secrets.Layer("%2%35%32%35c3%a9%2541 %zz &#x26;#65;", None, None, ""), "").text == "éA %zz A"
+    deep = b"my token=abcdef99 ok"
+    for _ in range(14):
+        deep = "".join(f"%{c:02x}" for c in deep).encode() if len(deep) < 4000 else deep
+    text = deep.decode()
+    base, added, _ = secrets.scan_text(text)
+    assert not base and any(k.endswith("assign") for *_, k in added)
+
+
+def test_other_streams():
+    import bz2
+    import lzma
+
+    noise = "".join(chr(33 + x) for x in np.random.default_rng(4).integers(0, 90, 300)).encode()
+    for pack in (bz2.compress, lzma.compress):
+        for raw in (pack(noise + b" token=abc123 "), pack(noise) + pack(b" token=abc123 ")):
+            text = base64.b64encode(raw).decode()
+            base, added, guarded = secrets.scan_text(text)
+            assert [k for *_, k in added] == ["base64.zip.assign"] and not guarded and added[0][0] == 0
+
+
+def scanned_by_hand(text):
+    """Base spans by a search from each place, without the operator's patterns."""
+    low, found = text.lower(), []
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    i = 0
+    while i < len(text):
+        hit = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, i) and text[i : i + len(word)].isascii():
+                j = i + len(word)
+                j += text[j : j + 1] in ("'", '"') and bool(text[j : j + 1])
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                starts = [j + 1, j] if text[j : j + 1] in ("'", '"') and text[j : j + 1] else [j]
+                for k in starts:
+                    e = k
+                    while e < len(text) and text[e] in value:
+                        e += 1
+                    if e > k:
+                        hit = (i, e, "assign", e - k >= 6)
+                        break
+                if hit:
+                    break
+        if hit:
+            if hit[3]:
+                found.append(hit[:3])
+            i = hit[1]
+        else:
+            i += 1
+    for kind, chars, head, least in (("access", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), "AKIA", 20), ("hex", set("0123456789abcdef"), "", 24)):
+        i = 0
+        while i < len(text):
+            e = i
+            if text.startswith(head, i):
+                e = i + len(head)
+                while e < len(text) and text[e] in chars:
+                    e += 1
+                if e - i < len(head) + 1:
+                    e = i
+            if e - i >= least:
+                found.append((i, e, kind))
+            i = max(e, i + 1)
+    return sorted(found, key=lambda x: (x[0], secrets.KINDS.index(x[2])))
+
+
+def test_base_results_on_all_rows(docs_of, documents, spark, sf_dir):
+    extra = ["x Token: 'token=abcdefg", "api_key==abcdef", "password''=abcdef", "secret = token = abcdefgh", "passwd=abc token=abcdef", "AKIAAKIA" + "A" * 12, "f" * 23 + " " + "0a" * 13, "K" + "apikey:'abcde.", "sec\u212aet=abcdef", "to\u212aen=abcdef"]
+    rows = [*documents, *[(10**6 + i, t) for i, t in enumerate(extra)]]
+    got = {r.doc_id: r for r in secrets.find_secrets(docs_of(rows)).collect()}
+    for i, t in rows:
+        spans = scanned_by_hand(t or "")
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == kind for *_, k in spans) for kind in secrets.KINDS], (i, t[:200])
+        assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
+
+
 # --- 7
 
 

@@ -26,8 +26,9 @@ def brute_top(rows, k=20, every=20):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("blocks", [(8192, 1024), (37, 3)])
-def test_top_k(spark, blocks):
+@pytest.mark.parametrize("blocks", [(8192, 1024, 1 << 25), (37, 3, 1 << 25), (37, 3, 0)])
+def test_top_k(spark, blocks, monkeypatch):
+    monkeypatch.setattr(topk, "MOST_BROADCAST", blocks[2])
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(200)]
     rows += [(300 + i, [0.5] * 8) for i in range(60)] + [(20, rows[20][1]), (None, [1.0] * 8), (400, None), (401, [float("nan")] * 8), (402, [None] * 8), (403, [float("inf")] * 8), (404, []), (420, [1e3] * 3)]
@@ -37,6 +38,12 @@ def test_top_k(spark, blocks):
     assert topk.top_k(df.where("false")).collect() == []
 
 
+def test_scores_beyond_64_bits_are_refused(spark):
+    df = spark.createDataFrame([(0, [6e10, 1.0]), (1, [6e10, 2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(ArithmeticError):
+        topk.top_k(df)
+
+
 def test_large_components_stay_exact():
     v = np.array([[2**28, 3], [2**28 - 1, 5], [7, 2**29]])
     one = (np.arange(3), np.arange(3), np.zeros(3, np.int8), v, (v.astype(float) ** 2).sum(1), np.zeros((3, 0)))
@@ -102,6 +109,68 @@ def test_schema_keywords(schema, good, bad):
     assert chat.schema_errors(1, {"if": {}}) == ["$: unsupported if"] and chat.schema_errors(1, {"$ref": "#"}) == ["$: unsupported $ref"]
 
 
+HOSTILE = ["1e999", '"\\\\ud800"', "[" * 3000 + "]" * 3000, "9" * 400, "NaN", '{"\\\\udc00": 1}', "-1e400"]
+
+
+def test_hostile_json(spark):
+    hostile = [x.replace("\\\\", "\\") for x in HOSTILE]
+    schemas = ['{"type": "integer"}', '{"required": true}', '{"required": [["x"]]}', '{"type": {"a": 1}}', '{"type": [{}]}', '{"properties": 3, "items": 4, "enum": 5, "allOf": [1]}', '{"type": "object", "required": ["a"]}']
+    rows = [(1, 0, "system", '{"tools": [%s]}' % ", ".join(f'{{"name": "s{i}", "parameters": {x}}}' for i, x in enumerate(schemas)))]
+    rows += [(1, 1 + 10 * i + j, "assistant", '<tool_call>{"id": "c%d", "name": "s%d", "arguments": %s}</tool_call>' % (10 * i + j, j, x if x[0] == "{" else '{"v": %s}' % x)) for i, x in enumerate(hostile) for j in range(len(schemas))]
+    rows += [(1, 200 + i, "assistant", '{"id": %s, "name": "s0", "arguments": {}}' % x) for i, x in enumerate(hostile)]
+    got = {r.turn: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows)
+    assert got[1].n_calls == 0 and json.loads(got[1].message)["content"] == rows[1][3]  # a number beyond a double's range
+    assert got[31].n_invalid == 1 and got[37].n_invalid == 1 and "9" * 400 in got[31].message
+    assert json.loads(got[11].message)["tool_calls"][0]["arguments"] == {"v": "\ufffd"} and got[201].n_calls == 1
+    assert chat.schema_errors(10**400, {"type": "integer"}) == [] and chat.schema_errors({}, {"required": [["x"], "y"]}) == ["$.y: missing"]
+
+
+def test_calls_against_a_plain_loop(spark):
+    """Thousands of turns, most in one conversation; repeated identifiers, results too early, definitions that change."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for t in range(4000):
+        conv = 1 if t % 8 else int(rng.integers(2, 6))
+        kind, name, ident = rng.integers(0, 5), f"f{rng.integers(0, 3)}", f"i{rng.integers(0, 1200)}"
+        if kind == 0 and t % 5 == 0:
+            rows.append((conv, t, "system", json.dumps({"tools": [{"name": name, "parameters": {"properties": {"a": {"maximum": int(rng.integers(0, 9))}}}}]})))
+        elif kind <= 2:
+            rows.append((conv, t, "assistant", CALL.replace("add", name) % (ident, json.dumps({"a": int(rng.integers(0, 9))}), "")))
+        elif kind == 3:
+            rows.append((conv, t, "tool", RESULT % (ident, t)))
+        else:
+            rows.append((conv, t, "user", f"words {t}"))
+    got = {(r.conv_id, r.turn): r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()}
+    calls, results, tools = defaultdict(list), defaultdict(list), defaultdict(list)
+    for c, t, _, x in rows:
+        found = chat.parse_turn(x)
+        for y in found[0]:
+            calls[c, y["id"]].append((t, y))
+        for y in found[1]:
+            results[c, y["call_id"]].append((t, y))
+        for y in found[2]:
+            tools[c, y["name"]].append((t, y["parameters"]["properties"]["a"]["maximum"]))
+    linked, invalid, after, n_calls = defaultdict(int), defaultdict(int), [], defaultdict(int)
+    answered = defaultdict(int)
+    for (c, ident), each in calls.items():
+        for k, (t, y) in enumerate(each):
+            n_calls[c, t] += 1
+            mosts = [m for at, m in tools[c, y["name"]] if at <= t]
+            invalid[c, t] += bool(mosts) and y["arguments"]["a"] > mosts[-1]
+            if k < len(results[c, ident]):
+                linked[c, t] += 1
+                answered[c, results[c, ident][k][0]] += 1
+                after.append((c, t, results[c, ident][k][0]))
+    for c, t, _, x in rows:
+        r = got[c, t]
+        assert (r.n_calls, r.n_linked, r.n_invalid, r.n_orphans) == (n_calls[c, t], linked[c, t], invalid[c, t], len(chat.parse_turn(x)[1]) - answered[c, t])
+    assert sum(invalid.values()) > 100 and sum(answered.values()) > 100
+    for c in {r[0] for r in rows}:
+        assert sorted(r.position for k, r in got.items() if k[0] == c) == list(range(sum(r[0] == c for r in rows)))
+    assert all(got[c, a].position < got[c, b].position for c, a, b in after)
+
+
 def test_topological():
     assert chat.topological(4, {0: {3}, 2: {0}}) == [1, 3, 0, 2]
     assert chat.topological(3, {0: {1}, 1: {0}}) == [2, 0, 1]
@@ -144,4 +213,21 @@ def test_pipeline_stages(spark, sf_dir):
                 fills[r.sequence_id] += r.length
             assert max(fills.values()) <= 2048 and len(fills) <= sum(fills.values()) / 2048 * 1.02 + 2
             assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in rows}
+            packed, sequences = docs.orderBy("sequence_id", "offset").collect(), defaultdict(list)
+            for r in packed:
+                assert r.offset == len(sequences[r.sequence_id]) and r.length == len(r.ids)
+                sequences[r.sequence_id] += r.ids
+            assert sum(map(len, sequences.values())) == sum(r.length for r in packed)
     assert p.run(spark, sf_dir).count() == docs.count()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path, docs_of, odd):
+    import corpus_pipeline as p
+
+    rows = [*odd, (None, "a b c d e f"), (9, "token=abcdef99 " * 3), (9, "token=abcdef99 " * 3), (10, None, None)]
+    for name, given in (("odd", rows), ("none", [])):
+        docs = docs_of([r[:2] for r in given], extra=True)
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = p.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(out) == bool(given) and all(len(r.ids) == r.length for r in out)
