@@ -7,7 +7,8 @@ number of rules whatever the input. The posterior probability of "good" then tak
 filter.
 
 The repeated 3-word windows of a text are found inside its row: each window is a 64-bit value whose upper bits are a
-hash of its words and whose lower bits are its place, so one sort of plain longs puts equal windows side by side.
+hash of its words and whose lower bits are its place, so one sort of plain longs puts equal windows side by side. Windows
+of equal hashes are then compared word by word, so the counts are exact for texts of any length.
 """
 
 from __future__ import annotations
@@ -47,15 +48,17 @@ def text_stats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     windows = "sort_array(transform(slice(w, 1, greatest(cast(n_words as int) - 2, 0)), (x, i) -> shiftleft(xxhash64(x, w[i + 1], w[i + 2]), b) | cast(i as bigint)))"
     # get() is null beyond either end, and a null comparison is no match
     repeated = "filter(s, (x, i) -> shiftright(x, b) = shiftright(get(s, i - 1), b) or shiftright(x, b) = shiftright(get(s, i + 1), b))"
-    places = f"sort_array(transform({repeated}, x -> x & (shiftleft(1L, b) - 1L)))"
+    # of the windows with equal hashes, which are few in most texts, the words themselves
+    worded = f"sort_array(transform(transform({repeated}, x -> cast(x & (shiftleft(1L, b) - 1L) as int)), x -> struct(concat_ws(' ', w[x], w[x + 1], w[x + 2]) as k, cast(x as bigint) as i)))"
+    places = "sort_array(transform(filter(e, (x, j) -> x.k = get(e, j - 1).k or x.k = get(e, j + 1).k), x -> x.i))"
     covered = "aggregate(transform(p, (x, i) -> least(3L, coalesce(get(p, i + 1) - x, 3L))), 0L, (a, x) -> a + x)"
     lines = F.filter(F.split("t", "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0)
     marks = F.length("t") - F.length(F.translate("t", "!?", ""))
     upper = F.length("t") - F.length(F.regexp_replace("t", "[A-Z]", ""))
     runs = F.length(F.regexp_replace("t", "[#*$%&|<>]+", "#")) - F.length(F.regexp_replace("t", "[#*$%&|<>]", ""))
     symbols = F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))
-    measured = sized.select(key, "n_words", "b", F.length(F.array_join("w", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), runs.cast("long").alias("n_symbol_runs"), lines.alias("l"), upper.cast("long").alias("n_upper"), marks.cast("long").alias("n_marks"), F.expr(windows).alias("s"))
-    placed = measured.select("*", F.expr(places).alias("p"))
+    measured = sized.select(key, "n_words", "b", F.length(F.array_join("w", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), runs.cast("long").alias("n_symbol_runs"), lines.alias("l"), upper.cast("long").alias("n_upper"), marks.cast("long").alias("n_marks"), F.expr(windows).alias("s"), "w")
+    placed = measured.withColumn("e", F.expr(worded)).withColumn("p", F.expr(places))
     return placed.select(key, "n_words", "word_chars", "n_symbols", (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"), F.expr(covered).alias("n_repeat_words"), F.size("l").cast("long").alias("n_lines"), "n_upper", "n_marks", "n_symbol_runs")
 
 
@@ -96,7 +99,8 @@ def judge(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES) -> DataFra
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality_posterior.
 
     A null text has no words and no lines, fails the base test and is not kept; an empty table has no rows. Repeated
-    rows are judged each. The fit is to all rows, so it is the same in any order of the rows.
+    rows are judged each. Texts of any length are read whole, in one row's arrays. The fit is to all rows, so it is the
+    same in any order of the rows. Other columns are never read and may have any names.
     """
     names = list(rules)
     voted = staged(votes(text_stats(docs), rules), "votes")
