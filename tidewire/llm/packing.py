@@ -10,6 +10,8 @@ the next round, where blocks are dealt anew from all leftovers, so the loss does
 from __future__ import annotations
 
 import bisect
+import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +26,8 @@ from tidewire.llm.common import bounded_batches, chunked, staged
 LENGTH, END_ID = 2048, 0
 #: Pieces that one task packs at once, and rounds of dealing leftovers anew.
 BLOCK, ROUNDS = 8192, 3
+#: The local search's effort: turns of a bin, acts of a turn, and places looked at for what it gives away.
+TURNS, ACTS, REACH = 24, 16, 64
 #: Texts with other characters than these, or with longer unbroken runs, go through `tokenizers` itself.
 PLAIN = r"^[\x{0000}-\x{052F}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FA5}\x{AC00}-\x{D7A3}]*$"
 LONG_RUN = r"\S{1000}"
@@ -32,11 +36,12 @@ _tokenizers: dict[str, ByteTokenizer] = {}
 
 
 class ByteTokenizer:
-    """Ids of a byte-level BPE file of `tokenizers`, special tokens' strings being ordinary text.
+    """Ids of a byte-level BPE file of `tokenizers`, as that library gives them without adding special tokens.
 
     `tiktoken` applies the same vocabulary, read from the same file, with the same split pattern about four times as
     fast, and gives the same ids where both libraries' character classes agree; the tests compare them. Other texts,
-    and very long unbroken runs, are left to `tokenizers`.
+    very long unbroken runs, and texts that hold the string of a special token (which has an id of its own) are left to
+    `tokenizers`.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,7 +51,6 @@ class ByteTokenizer:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
         self.inner.no_padding()
         self.inner.no_truncation()
         # the printable characters that stand for the bytes: those that print stand for themselves, others follow at 256
@@ -55,10 +59,13 @@ class ByteTokenizer:
         assert set(stands_for) == set(ByteLevel.alphabet())
         special = {x.content for x in self.inner.get_added_tokens_decoder().values()}
         ranks = {bytes(stands_for[c] for c in token): i for token, i in self.inner.get_vocab().items() if token not in special}
+        self.special = "|".join(map(re.escape, sorted(special)))
         self.quick = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         plain = pc.and_not(pc.match_substring_regex(texts, PLAIN), pc.match_substring_regex(texts, LONG_RUN))
+        if self.special:
+            plain = pc.and_not(plain, pc.match_substring_regex(texts, self.special))
         out = []
         for quick, text in zip(plain.to_pylist(), texts, strict=True):
             text = text.as_py()
@@ -129,57 +136,98 @@ def best_fit(sizes: np.ndarray, length: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], sizes: np.ndarray, length: int, tries: int = 3, most_acts: int = 20_000) -> list[list[int]]:
+class _Places:
+    """Where a piece could go: (free places once a piece of `size` left the bin, size, piece or -1, bin, the bin's state), sorted."""
+
+    def __init__(self, bins: dict[int, list[int]], size: list[int], length: int) -> None:
+        self.bins, self.size, self.length, self.state = bins, size, length, dict.fromkeys(bins, 0)
+        self.stale = 0
+        self.places = sorted(x for b in bins for x in self._of(b))
+
+    def _of(self, b: int) -> list[tuple[int, int, int, int, int]]:
+        room = self.length - sum(self.size[i] for i in self.bins[b])
+        return [(room, 0, -1, b, self.state[b]), *((room + self.size[i], self.size[i], i, b, self.state[b]) for i in self.bins[b])] if room else []
+
+    def changed(self, b: int) -> None:
+        self.state[b] += 1
+        self.stale += len(self.bins[b]) + 1
+        if 2 * self.stale > len(self.places):
+            self.places, self.stale = sorted(x for c in self.bins for x in self._of(c)), 0
+        else:
+            for x in self._of(b):
+                bisect.insort(self.places, x)
+
+    def best(self, n: int, own: int) -> tuple[int, int, int, int] | None:
+        """(room that stays, size of the piece that is given back, piece or -1, bin) of the tightest of the next REACH places for n, from which a smaller piece or none comes back."""
+        first = bisect.bisect_left(self.places, (n,))
+        for at in range(first, min(first + REACH, len(self.places))):
+            room, m, i, b, state = self.places[at]
+            if m < n and b != own and self.state.get(b) == state:
+                return room - n, m, i, b
+        return None
+
+
+def improve(bins: list[list[int]], sizes: np.ndarray, length: int) -> list[list[int]]:
     """Local search over the underfull bins: raise the sum of squared fills by moves and exchanges until nothing helps.
 
-    The emptiest bin gives up what it can: its pieces are moved into fuller bins, or exchanged one for one or two for
-    one with pieces there, such that the fuller bin gets fuller. An empty bin is gone. The search ends at the fewest
-    bins that the sizes allow, when each bin had its `tries` turns without being emptied, or after most_acts bin pairs
-    looked at for each bin (only the effort is bounded: every piece stays packed).
+    The emptiest bin gives up what it can: a piece is moved into a fuller bin, or one or two pieces are exchanged for a
+    smaller one there, wherever the fuller bin gets fullest; an index of all places by what fits there finds it. An
+    empty bin is gone. A bin that can't give anything away waits until another has. The search ends when no bin can, at
+    the fewest bins that the sizes allow, or when each bin has had its TURNS, each of ACTS at most; that and REACH bound
+    the effort only: every piece stays packed, some bins may stay that a longer search would empty.
     """
     size = sizes.tolist()
     fewest = -(-sum(size) // length)
     fill = [sum(size[i] for i in b) for b in bins]
     done = [b for b, f in zip(bins, fill, strict=True) if f == length]
-    work = sorted((f, list(b)) for b, f in zip(bins, fill, strict=True) if f < length)
-    turns, looks = tries * len(work), most_acts * max(1, len(work)) // 100
-    while len(work) > 1 and len(done) + len(work) > fewest and turns > 0 and looks > 0:
-        turns -= 1
-        f, low = work.pop(0)
-        for target in range(len(work) - 1, -1, -1):
-            g, high = work[target]
-            room = length - g
+    work = {k: list(b) for k, (b, f) in enumerate(zip(bins, fill, strict=True)) if f < length}
+    filled = {k: fill[k] for k in work}
+    turns, places, waiting = dict.fromkeys(work, TURNS), _Places(work, size, length), set()
+    queue = [(f, k) for k, f in filled.items()]
+    heapq.heapify(queue)
+    while queue and len(work) > 1 and len(done) + len(work) > fewest:
+        f, low = heapq.heappop(queue)
+        if low in waiting or filled.get(low) != f or not turns[low]:
+            continue
+        turns[low] -= 1
+        gave = False
+        for _ in range(ACTS):
+            if low not in work:
+                break
+            own, best = work[low], None
+            for give in [*((i,) for i in own), *((i, j) for x, i in enumerate(own) for j in own[x + 1 :])]:
+                n = sum(size[i] for i in give)
+                if n <= length and (found := places.best(n, low)) and (len(give) == 1 or found[2] >= 0):
+                    room, m, i, b = found
+                    # the sum of squares rises if the other bin gets more than it has over this one
+                    if n - m > f - filled[b] and (best is None or (room, m - n) < best[:2]):
+                        best = (room, m - n, give, i, b)
+            if best is None:
+                break
+            room, gain, give, back, b = best
+            gave = True
+            work[low] = [i for i in own if i not in give] + [back] * (back >= 0)
+            work[b] = [i for i in work[b] if i != back] + list(give)
+            f += gain
+            filled[low], filled[b] = f, length - room
             if not room:
-                continue
-            looks -= 1
-            gain, give, take = max(0, f - g), [], []  # more than this raises the sum of squares
-            for i in low:
-                n = size[i]
-                if gain < n <= room:
-                    gain, give, take = n, [i], []
-                for j in high:
-                    if gain < n - size[j] <= room:
-                        gain, give, take = n - size[j], [i], [j]
-            if gain < room and 1 < len(low):
-                pairs = sorted((size[a] + size[b], a, b) for x, a in enumerate(low) for b in low[x + 1 :])
-                sums = [p[0] for p in pairs]
-                for j in high:
-                    k = bisect.bisect_right(sums, room + size[j]) - 1
-                    if k >= 0 and sums[k] - size[j] > gain:
-                        gain, give, take = sums[k] - size[j], list(pairs[k][1:]), [j]
-            if give:
-                low = [i for i in low if i not in give] + take
-                high = [j for j in high if j not in take] + give
-                f, work[target] = f - gain, (g + gain, high)
-                if not low:
-                    break
-        done += [b for g, b in work if g == length]
-        work = [w for w in work if w[0] < length]
-        if low:
-            work.append((f, low))  # its turn comes again after the others'
-        else:
-            work.sort()
-    return done + [b for _, b in work]
+                done.append(work.pop(b))
+                del filled[b], places.state[b]
+                places.stale += len(done[-1]) + 1
+            else:
+                places.changed(b)
+                heapq.heappush(queue, (filled[b], b))
+            if work[low]:
+                places.changed(low)
+            else:
+                del work[low], filled[low], places.state[low]
+        if gave:
+            for k in waiting & work.keys():
+                heapq.heappush(queue, (filled[k], k))
+            waiting.clear()
+        if low in work and turns[low]:
+            waiting.add(low)
+    return done + list(work.values())
 
 
 def pack_block(sizes: np.ndarray, length: int) -> list[list[int]]:
@@ -252,7 +300,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, length: int = LENGTH
 
     A null or empty text is the end id alone. Repeated rows are documents of their own with the same doc_id. Longer
     documents than a sequence are cut into full pieces, the first may be shorter; no other is cut. An empty table gives
-    no rows; other columns are never read.
+    no rows; other columns are never read. A text of any length is tokenised whole.
     """
     bounded_batches(docs.sparkSession)
     cut_up = staged(pieces(docs, tokenizer_path, length=length, with_ids=with_ids), "pieces")
