@@ -2,8 +2,11 @@
 
 Each document gets a hash-random key. Within its source, documents are ordered by that key through key ranges (a hash
 is uniform, so equal ranges hold equal shares and no sampling pass is needed); the sums of the ranges give each range
-its offset, and a running sum inside the range gives each document its place on the source's line of words. The mix
-takes the line from its start, over again for each epoch, and stops exactly at the source's budget.
+its offset, in two levels, so that no task holds more than a few thousand ranges of a source; and a running sum inside
+the range gives each document its place on the source's line of words. The mix takes the line from its start, over again
+for each epoch, and stops exactly at the source's budget.
+
+Targets need the order of all sources, so one task holds one row of some 100 bytes for each source.
 """
 
 from __future__ import annotations
@@ -15,6 +18,10 @@ from tidewire.llm.common import staged, words
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
+#: Key ranges of a source whose offsets one task sums up.
+RANGES = 4096
+#: Between a space and a word.
+WORD_STARTS = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
 
 
 def source_targets(sized: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -53,8 +60,12 @@ def mix_plan(sized: DataFrame, *, bucket_docs: int = 4096, seed: str = "mix", we
         .withColumn("bucket", F.floor(part * F.ceil(F.col("docs") / F.lit(float(bucket_docs)))))
     )
     sums = keyed.groupBy("src_null", "src", "bucket").agg(F.sum("size").alias("words"))
-    line = Window.partitionBy("src_null", "src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("src_null").alias("o_null"), F.col("src").alias("o_src"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("words").over(line), F.lit(0)).alias("offset"))
+    sums = staged(sums.withColumn("upper", F.floor(F.col("bucket") / RANGES)), "mix-ranges")
+    before = lambda *keys: Window.partitionBy("src_null", "src", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    uppers = sums.groupBy("src_null", "src", "upper").agg(F.sum("words").alias("words"))
+    uppers = uppers.select("src_null", "src", "upper", F.coalesce(F.sum("words").over(before("upper")), F.lit(0)).alias("base"))
+    lower = F.coalesce(F.sum("words").over(before("upper", "bucket")), F.lit(0))
+    offsets = sums.withColumn("lower", lower).join(uppers, ["src_null", "src", "upper"]).select(F.col("src_null").alias("o_null"), F.col("src").alias("o_src"), F.col("bucket").alias("o_bucket"), (F.col("base") + F.col("lower")).alias("offset"))
     placed = keyed.join(offsets, (F.col("src") == F.col("o_src")) & (F.col("src_null") == F.col("o_null")) & (F.col("bucket") == F.col("o_bucket")))
     within = Window.partitionBy("src_null", "src", "bucket").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -75,21 +86,29 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken.
 
     Nulls: a null text has no words and is never taken; null sources form one source, the last; a null doc_id is keyed
-    like any value. Repeated rows are documents of their own that stand side by side. An empty table gives no rows.
+    like any value. Repeated rows are documents of their own that stand side by side. Of a text of any length only the
+    number of its words goes on. An empty table gives no rows; other columns are never read.
     """
     sized = staged(sized_documents(docs), "mix-sized")
     return mix_plan(sized, **options).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of docs, once for each time the mix takes the whole text, and the cut document's first words."""
+    """The mix itself: rows of docs, once for each time the mix takes the whole text, and the cut document's text up to its last word in the mix.
+
+    Nulls and repeats as in mix_sources; rows without words aren't in the mix. Other columns may have any names. An
+    empty table stays empty.
+    """
     plan = mix_plan(sized_documents(docs, keep_row=True), **options)
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0))
     whole = F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(F.lit(0))
     copies = F.array_repeat(F.lit(-1).cast("long"), whole.cast("int"))
     copies = F.when(rest > 0, F.concat(copies, F.array(rest))).otherwise(copies)
     rows = plan.select("row", F.explode(copies).alias("cut"))
-    cut_text = F.array_join(F.slice(words(F.col("row.text")), 1, F.greatest(F.col("cut"), F.lit(1)).cast("int")), " ")
+    text = F.col("row.text")
+    starts_blank = text.rlike(r"\A[\x20\x09-\x0D]").cast("int")
+    first = F.slice(F.split(text, WORD_STARTS), 1, (F.greatest(F.col("cut"), F.lit(1)) + starts_blank).cast("int"))
+    cut_text = F.regexp_replace(F.array_join(first, ""), r"[\x20\x09-\x0D]+\z", "")
     out = []
     for c in docs.columns:
         value = F.col(f"row.`{c}`")
