@@ -214,16 +214,19 @@ def marked(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
 
 
 def fit_on(features: DataFrame, labels: DataFrame) -> Rules:
-    """Fit on the marked rows of features (doc_id, f_...)."""
-    chosen = features.join(marked(labels), "doc_id").toPandas().sort_values(["doc_id", "y", *[f"f_{f}" for f in FEATURES]], kind="stable")
-    return fit_rules(chosen[[f"f_{f}" for f in FEATURES]].to_numpy(float), chosen["y"].to_numpy(float))
+    """Fit on the marked rows of features (doc_id, f_...): of rows that share a doc_id one, that of the least statistics."""
+    names = [f"f_{f}" for f in FEATURES]
+    chosen = features.join(marked(labels), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(*names)).alias("f")).select("doc_id", "y", "f.*")
+    rows = chosen.toPandas().sort_values(["doc_id", "y"], kind="stable")
+    return fit_rules(rows[names].to_numpy(float), rows["y"].to_numpy(float))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted.
 
     Null and empty texts have zero statistics and the score that the rules give those; repeated rows are scored each;
-    without labels every score is 0.5 (and predicted 1). Other columns of docs or labels are never read.
+    without labels every score is 0.5 (and predicted 1). Texts of any length are read whole, some ten arrays of their words at once. An
+    empty table gives no rows. Other columns of docs or labels are never read.
     """
     features = staged(with_statistics(docs, F.col("doc_id")), "statistics")
     score = fit_on(features, labels).column()
@@ -232,7 +235,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose score is at least 0.5."""
+    """The rows of docs whose score is at least 0.5.
+
+    Null and empty texts are judged by their zero statistics, repeated rows each; without labels all rows stay. Other
+    columns may have any names and types. An empty table stays empty.
+    """
     labelled = docs.join(marked(labels).select("doc_id"), "doc_id", "left_semi")
     rules = fit_on(staged(with_statistics(labelled, F.col("doc_id")), "statistics"), labels)
     rows = with_statistics(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
