@@ -6,8 +6,8 @@ A turn's text may hold tool calls and results as JSON objects, either as the who
     call    {"id": ..., "name": ..., "arguments": {...}}
     result  {"call_id": ..., "content": ...}
 
-Calls and results of a conversation are joined by identifier (a hash join on conversation and identifier, so that one
-conversation with many turns spreads over the tasks), and a call may name calls that it needs in "after". Events are
+Calls and results of a conversation are joined by identifier (an equi-join on conversation and identifier, so that one
+conversation with many calls spreads over the tasks), and a call may name calls that it needs in "after". Events are
 ordered topologically: a result after its call, a call after those it needs, otherwise by turn. Arguments are checked
 against the JSON Schema of the tool's definition (keywords that aren't checked are errors of their own), which a system turn gives as {"tools": [{"name", "parameters"}]}.
 """
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import bounded_batches, staged
 
 TAGGED = re.compile(r"<tool_(call|result)>\s*(\{.*?\})\s*</tool_\1>", re.DOTALL)
+SURROGATE = re.compile(r"\\u[dD][89a-fA-F]")
 TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -37,9 +39,27 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _finite(text: str) -> float:
+    if math.isfinite(x := float(text)):
+        return x
+    raise ValueError(text)
+
+
+def _sound(value):
+    """value with U+FFFD for the halves of surrogate pairs in its strings, which no UTF-8 can hold."""
+    if isinstance(value, str):
+        return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(value, list):
+        return [_sound(x) for x in value]
+    return {_sound(k): _sound(x) for k, x in value.items()} if isinstance(value, dict) else value
+
+
 def _load(text: str):
+    """The JSON value; None for what isn't JSON, has numbers beyond a double's range, or nests too deep to be written again."""
     try:
-        return json.loads(text, parse_constant=lambda _: None)
+        value = json.loads(text, parse_constant=_finite, parse_float=_finite)
+        canonical(value)
+        return _sound(value) if SURROGATE.search(text) else value
     except (ValueError, RecursionError):
         return None
 
@@ -81,6 +101,20 @@ def _referred(root, ref):
     return root if isinstance(root, (dict, bool)) else None
 
 
+def _names(required) -> list[str]:
+    return [x for x in required if isinstance(x, str)] if isinstance(required, list) else []
+
+
+def argument_errors(arguments: str, definition: str | None) -> list[str] | None:
+    """What a call's arguments break of its tool's schema; None without a definition. Never raises."""
+    if definition is None:
+        return None
+    try:
+        return schema_errors(_load(arguments), _load(definition))
+    except RecursionError:
+        return ["$: too deep"]
+
+
 def schema_errors(value, schema, at: str = "$", root=None, refs: frozenset = frozenset()) -> list[str]:
     """What value breaks of a schema, by all keywords but UNSUPPORTED, of which it names those that the schema has."""
     if schema is False:
@@ -89,14 +123,16 @@ def schema_errors(value, schema, at: str = "$", root=None, refs: frozenset = fro
         return []
     root = schema if root is None else root
     errors, kind = [f"{at}: unsupported {x}" for x in UNSUPPORTED if x in schema], schema.get("type")
-    kinds = kind if isinstance(kind, list) else [kind] if kind else []
+    kinds = kind if isinstance(kind, list) else [] if kind is None else [kind]
+    if not all(isinstance(x, str) for x in kinds):
+        errors, kinds = [*errors, f"{at}: unsupported type"], []
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
 
     def is_kind(name: str) -> bool:
         if name == "number":
             return number
         if name == "integer":
-            return number and float(value).is_integer()
+            return number and (isinstance(value, int) or value.is_integer())
         return name in TYPES and isinstance(value, TYPES[name])
 
     if kinds and not any(is_kind(x) for x in kinds):
@@ -142,7 +178,9 @@ def schema_errors(value, schema, at: str = "$", root=None, refs: frozenset = fro
                 errors.append(f"{at}: {name}")
     if isinstance(value, dict):
         known = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
-        errors += [f"{at}.{x}: missing" for x in schema.get("required") or [] if x not in value]
+        errors += [f"{at}.{x}: missing" for x in _names(schema.get("required")) if x not in value]
+        if schema.get("required") is not None and not isinstance(schema["required"], list):
+            errors.append(f"{at}: unsupported required")
         for x in sorted(value):
             if x in known:
                 errors += schema_errors(value[x], known[x], f"{at}.{x}", root)
@@ -204,12 +242,17 @@ def linked_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = Window.partitionBy("conv_id", "event_id").orderBy("turn", "seq", "body")
     calls = events.where("kind = 'call'").withColumn("nth", F.row_number().over(order))
     results = events.where("kind = 'result'").withColumn("nth", F.row_number().over(order)).select("conv_id", "event_id", "nth", F.col("turn").alias("r_turn"), F.col("body").alias("result"))
-    tools = events.where("kind = 'tool'").groupBy("conv_id", "name").agg(F.max(F.struct("turn", "body"))["body"].alias("definition"))
-    linked = calls.join(results, ["conv_id", "event_id", "nth"], "left").join(tools, ["conv_id", "name"], "left")
+    # a definition holds from its turn to the next one's
+    at = F.coalesce("turn", F.lit(-(1 << 63)))
+    tools = events.where("kind = 'tool'").groupBy("conv_id", "name", at.alias("since")).agg(F.max_by("body", F.struct("seq", "body")).alias("definition"))
+    tools = tools.withColumn("until", F.lead("since").over(Window.partitionBy("conv_id", "name").orderBy("since")))
+    linked = calls.join(results, ["conv_id", "event_id", "nth"], "left").alias("c")
+    holds = (F.col("c.conv_id") == F.col("t.conv_id")) & (F.col("c.name") == F.col("t.name")) & (at >= F.col("since")) & (F.col("until").isNull() | (at < F.col("until")))
+    linked = linked.join(tools.alias("t"), holds, "left").select("c.*", "definition")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            errors = [None if d is None else schema_errors(_load(a), _load(d)) for a, d in zip(batch.column("body").to_pylist(), batch.column("definition").to_pylist(), strict=True)]
+            errors = [argument_errors(a, d) for a, d in zip(batch.column("body").to_pylist(), batch.column("definition").to_pylist(), strict=True)]
             yield batch.append_column("errors", pa.array(errors, pa.list_(pa.string())))
 
     columns = ["conv_id", "event_id", "nth", "turn", "seq", "name", "body", "needs", "r_turn", "result", "definition"]
@@ -217,6 +260,23 @@ def linked_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, linked.select(*columns).mapInArrow(check, schema)
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """Adds line, the number of a turn in its conversation from 0, by turn, role and a hash of the text.
+
+    Turns are dealt by ranges of that order, so a conversation of many turns spreads over the tasks; the numbers are
+    counted in each range and start at the count of the ranges before, of which there are no more rows than ranges.
+    """
+    by = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.xxhash64("text").asc()]
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(turns.repartitionByRange(parts, *by).withColumn("range", F.spark_partition_id()), "chat-turns")
+    counts = dealt.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("conv_id").alias("o_conv"), F.col("range").alias("o_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("conv_id", "range").orderBy(*by[1:], "text")
+    lines = dealt.withColumn("place", F.row_number().over(within) - 1).join(offsets, F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("range") == F.col("o_range")))
+    return lines.withColumn("line", (F.col("place") + F.col("before")).cast("int")).select(*turns.columns, "line")
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
     """Per turn: conv_id, turn, role, position (in the topological order, from 0), n_calls, n_linked, n_invalid, n_orphans, message.
 
@@ -227,8 +287,11 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
     Nulls: rows of a null conv_id are ordered together and a null turn comes first, but calls and results there are
     left unlinked; a null role or text is null in the JSON. Repeated turns stand side by side, ordered by role and
-    text, and each shows the calls of all. A result without a call is an orphan; of repeated
-    identifiers the n-th result belongs to the n-th call. An empty table gives no rows; other columns are never read.
+    a hash of the text, and each shows the calls of all. A result without a call is an orphan; of repeated
+    identifiers the n-th result belongs to the n-th call. Arguments are checked against the last definition of the tool
+    at or before the call; without one they are not checked. What isn't strict JSON (numbers beyond a double's range,
+    NaN, nesting too deep to write) is content and no call; halves of surrogate pairs become U+FFFD. Texts of any length
+    are read whole. An empty table gives no rows; other columns are never read.
     """
     events, links = linked_calls(conversations)
     links = staged(links, "chat-links")
@@ -238,12 +301,10 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         F.count("result").alias("n_linked"),
         F.count(F.when(F.size("errors") > 0, 1)).alias("n_invalid"),
     )
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
     results = events.where("kind = 'result'").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n_results"))
     got = links.where(F.col("result").isNotNull()).groupBy("conv_id", F.col("r_turn").alias("turn")).agg(F.count(F.lit(1)).alias("n_got"))
     orphans = results.join(got, ["conv_id", "turn"], "left").select("conv_id", "turn", (F.col("n_results") - F.coalesce("n_got", F.lit(0))).alias("n_orphans"))
-    turns = events.where("kind = 'turn'").select("conv_id", "turn", "role", F.col("body").alias("text"))
-    turns = turns.withColumn("line", F.row_number().over(order) - 1)
+    turns = numbered(events.where("kind = 'turn'").select("conv_id", "turn", "role", F.col("body").alias("text")))
     full = turns.join(per_turn, ["conv_id", "turn"], "left").join(orphans, ["conv_id", "turn"], "left")
 
     # edges between turns of one conversation that contradict the turns' order
