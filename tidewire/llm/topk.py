@@ -4,7 +4,8 @@ Vectors become integer vectors floor(64 * x). Every vector's distances to a fixe
 and kept beside it. By the triangle inequality |d(q, p) - d(x, p)| <= d(q, x) for each pivot p, so the largest such
 difference bounds the distance from below and, with the norms, the inner product from above. Within a block pair each
 query evaluates candidates in the order of that bound and stops when no bound reaches its k-th best score, so the
-result is exact. Queries and candidates are dealt out in blocks; the best k of each block pair are merged.
+result is exact. Queries and candidates are dealt out in blocks; the best k of each block pair are merged. While all
+blocks of queries together are small they are broadcast, and no candidate moves; otherwise pairs of blocks are shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from tidewire.llm.common import bounded_batches, staged
 #: The pivots are this many vectors, those of the smallest hash; any choice gives the same result.
 PIVOTS = 16
 CANDIDATES, QUERIES, FIRST = 8192, 1024, 256
+#: Bytes of all blocks of queries up to which they are broadcast.
+MOST_BROADCAST = 32 << 20
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
@@ -39,8 +43,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _pack(width: int, pivots: np.ndarray, rows: int):
-    """Arrow rows (uid, vec_id, q) to blocks: n, uids, ids, id_null, vectors, squared norms, pivot distances."""
+def _pack(width: int, pivots: np.ndarray, rows: int | None):
+    """Arrow rows (uid, vec_id, q) to blocks: number of the task, n, uids, ids, id_null, vectors, squared norms, pivot distances; one block for a task if rows is None."""
 
     def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -50,14 +54,14 @@ def _pack(width: int, pivots: np.ndarray, rows: int):
         ids = t.column("vec_id").combine_chunks()
         far = np.sqrt(np.maximum(norm[:, None] + (pivots * pivots).sum(1)[None] - 2 * f @ pivots.T, 0)) if len(pivots) else np.zeros((len(v), 0))
         parts = [np.asarray(t.column("uid"), np.int64), np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()).astype(np.int8), v, norm, far]
-        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (len(v), *[np.ascontiguousarray(p).tobytes() for p in parts])], ["n", "uids", "ids", "nulls", "v", "norm", "far"])
+        return pa.RecordBatch.from_arrays([pa.array([x]) for x in (np.int32(TaskContext.get().partitionId()), len(v), *[np.ascontiguousarray(p).tobytes() for p in parts])], ["no", "n", "uids", "ids", "nulls", "v", "norm", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, rows - n)
+                part = batch.slice(at) if rows is None else batch.slice(at, rows - n)
                 held.append(part)
                 at, n = at + part.num_rows, n + part.num_rows
                 if n == rows:
@@ -69,7 +73,7 @@ def _pack(width: int, pivots: np.ndarray, rows: int):
     return run
 
 
-BLOCK = "n long, uids binary, ids binary, nulls binary, v binary, norm binary, far binary"
+BLOCK = "no int, n long, uids binary, ids binary, nulls binary, v binary, norm binary, far binary"
 
 
 def _unpack(row: dict, prefix: str, width: int) -> tuple[np.ndarray, ...]:
@@ -122,27 +126,29 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, candidates: int =
     Ties go to the smaller vec_id, null last. Vectors that are null or hold null or non-finite components take no part;
     shorter vectors count as filled up with zeros. Repeated rows are rows of their own: a repeated query is answered
     for each row, and a repeated candidate is found as often. With k or fewer others all are returned; an empty table
-    gives no rows. Other columns are never read.
+    gives no rows. Other columns are never read. Scores are exact; ArithmeticError is raised where one could pass 64 bits.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     table = staged(quantized(vectors), "vectors")
-    width, rows = table.agg(F.max(F.size("q")), F.count(F.lit(1))).first()
+    largest = F.array_max(F.transform("q", lambda x: F.abs(x.cast("double"))))
+    width, rows, most = table.agg(F.max(F.size("q")), F.count(F.lit(1)), F.max(largest)).first()
     width = max(int(width or 0), 1)
+    if width * (most or 0.0) ** 2 >= 2.0**63:
+        raise ArithmeticError(f"components up to {most:.0f} in {width} dimensions may give scores beyond 64 bits")
     chosen = table.orderBy(F.xxhash64("uid"), "uid").limit(PIVOTS).toPandas()["q"]
     pivots = np.zeros((len(chosen), width))
     for i, p in enumerate(chosen):
         pivots[i, : len(p)] = p
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     packed = staged(table.repartition(-(-rows // candidates) or 1).mapInArrow(_pack(width, pivots, candidates), BLOCK), "candidate-blocks")
-    asked = staged(table.where(F.col("vec_id") % every == 0).repartition(-(-rows // (every * queries)) or 1).mapInArrow(_pack(width, pivots, queries), BLOCK), "query-blocks")
+    blocks = -(-rows // (every * queries)) or 1
+    asked = staged(table.where(F.col("vec_id") % every == 0).repartition(blocks).mapInArrow(_pack(width, pivots, None), BLOCK), "query-blocks")
     # one row for each pair of blocks: every block of queries must meet every block of candidates
-    c = packed.select(F.lit(0).alias("on"), *[F.col(x).alias(f"c_{x}") for x in packed.columns])
-    q = asked.select(F.lit(0).alias("off"), F.monotonically_increasing_id().alias("q_block"), *[F.col(x).alias(f"q_{x}") for x in asked.columns])
-    blocks = asked.count()
-    numbered = staged(q.withColumn("q_no", F.row_number().over(Window.orderBy("q_block")) - 1).drop("off", "q_block"), "query-blocks")
-    pairs = c.withColumn("q_no", F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0))))).join(numbered, "q_no")
-    pairs = pairs.repartition(max(tasks, blocks * (-(-rows // candidates))))
+    c = packed.select(*[F.col(x).alias(f"c_{x}") for x in packed.columns]).withColumn("q_no", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = asked.select(*[F.col(x).alias(f"q_{x}") for x in asked.columns])
+    held = asked.agg(F.sum(sum((F.length(x) for x in ("uids", "ids", "nulls", "v", "norm", "far")), F.lit(0)))).first()[0] or 0
+    pairs = c.join(F.broadcast(q), "q_no") if held <= MOST_BROADCAST else c.join(q, "q_no").repartition(max(tasks, blocks * (-(-rows // candidates))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
