@@ -362,7 +362,8 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
 
     Null texts are empty; a null doc_id is above all others, so strings of such rows make nothing go in other rows but
     in none of each other's; rows with one doc_id leave each other alone. Texts may end inside a character after
-    removal, so kept text is binary. An empty table gives no rows; other columns are never read.
+    removal, so kept text is binary. A text longer than a chunk is a chunk of its own, with some twenty bytes of memory
+    for each of its. Ids that aren't whole numbers are refused. An empty table gives no rows; other columns are never read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
