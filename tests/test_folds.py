@@ -119,7 +119,202 @@ def test_batch_fold_equals_plain_fold(spark, sf_dir):
     assert any(r.overrun for r in q.window_overrun(spark, sf_dir).where("overrun").collect())
 
 
-def test_idle_and_slow_consumer():
-    step = folds.bounded_delivery(1, 10, "DISCONNECT_SLOW_CONSUMER")
-    events = [{"arrival": i, "kind": "PUT", "at_ms": at} for i, at in enumerate((0, 5, 9, 16, 20))]
-    assert [r[1] for r in folds.fold(events, step)] == ["enqueued", "dropped", "dropped", "disconnected"]
+def queue(*events):
+    return [{"arrival": i, "kind": "PUT" if k == "p" else "TAKE" if k == "t" else "END", "at_ms": at} for i, (k, at) in enumerate(events)]
+
+
+def outcomes(step, events):
+    return {r[0]: r[1] for r in folds.fold(events, step)}
+
+
+def test_writers_wait_for_a_place():
+    events = queue(("p", 0), ("p", 5), ("p", 9), ("t", 14), ("p", 16), ("e", 99))
+    assert outcomes(folds.bounded_delivery(1, 10, "DROP_MESSAGE"), events) == {0: "enqueued", 1: "enqueued", 2: "dropped", 4: "dropped"}
+    assert outcomes(folds.bounded_delivery(1, 10, "DISCONNECT_SLOW_CONSUMER"), events) == {0: "enqueued", 1: "enqueued", 2: "disconnected"}
+
+
+def test_grace_enqueues_until_the_timer_ends():
+    events = queue(("p", 0), ("p", 5), ("p", 14), ("p", 15), ("p", 16), ("t", 17), ("t", 17), ("t", 17), ("p", 18), ("p", 19), ("p", 28))
+    assert [r[1] for r in folds.fold(events, folds.grace_delivery(1, 10, "DROP_MESSAGE"))] == ["enqueued", "enqueued", "enqueued", "dropped", "dropped", "enqueued", "enqueued", "enqueued"]
+    assert [r[1] for r in folds.fold(events, folds.grace_delivery(1, 10, "DISCONNECT_SLOW_CONSUMER"))] == ["enqueued", "enqueued", "enqueued", "disconnected"]
+
+
+def waited(capacity, offer, drop, events):
+    """The blocking queue by a clock that goes on by one, each writer with a deadline of its own."""
+    depth, writers, out, closed = 0, {}, {}, False
+    last = max(e["at_ms"] for e in events) + offer + 2
+    for now in range(last):
+        for i in [i for i, due in writers.items() if due < now]:
+            if not closed:
+                out[i], closed = "dropped" if drop else "disconnected", not drop
+            del writers[i]
+        for e in events:
+            if e["at_ms"] != now or closed or e["kind"] == "END":
+                continue
+            if e["kind"] == "TAKE":
+                depth = max(0, depth - 1)
+            else:
+                writers[e["arrival"]] = now + offer
+            while writers and depth < capacity:
+                out[i := min(writers)] = "enqueued"
+                depth += 1
+                del writers[i]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_waiting_against_a_clock(seed):
+    rng = random.Random(seed)
+    times = sorted(rng.randint(0, 60) for _ in range(40))
+    events = queue(*[(rng.choice("ppt"), at) for at in times], ("e", 10**6))
+    events[-1]["at_ms"] = times[-1] + 100
+    for drop in (True, False):
+        policy = "DROP_MESSAGE" if drop else "DISCONNECT_SLOW_CONSUMER"
+        assert outcomes(folds.bounded_delivery(3, 7, policy), events) == waited(3, 7, drop, events)
+
+
+def test_rejected_opens_hold_no_place():
+    log = [("OPEN", "a"), ("OPEN", "b"), ("CLOSE", "b"), ("CLOSE", "a"), ("OPEN", "c"), ("OPEN", "d"), ("CLOSE", "d"), ("OPEN", "e")]
+    events = [{"kind": k, "conn_id": c, "at_ms": i} for i, (k, c) in enumerate(log)]
+    assert [(r[0], r[3]) for r in folds.fold(events, folds.admission(1))] == [("a", True), ("b", False), ("c", True), ("d", False), ("e", False)]
+    never_closed = [events[0], events[1], events[3], events[4]]
+    assert [r[3] for r in folds.fold(never_closed, folds.admission(1))] == [True, False, True]
+    assert all(r[3] for r in folds.fold(events, folds.admission(0)))
+
+
+def by_key(rows, key, order):
+    groups = {}
+    for r in sorted(rows, key=lambda r: tuple(r[c] for c in order)):
+        groups.setdefault(r[key], []).append(r.asDict())
+    return groups
+
+
+def plain_resets(events, window):
+    frontier, held, out = 0, set(), []
+    for e in events:
+        if e["kind"] == "RESET":
+            frontier, held = e["seq"], set()
+            continue
+        fresh = e["seq"] > frontier and e["seq"] not in held
+        over = fresh and e["seq"] > frontier + window
+        if over:
+            frontier, held = e["seq"], set()
+        elif fresh:
+            held |= {e["seq"]}
+            while frontier + 1 in held:
+                held -= {frontier + 1}
+                frontier += 1
+        out.append((e["event_id"], fresh, over, frontier))
+    return out
+
+
+def plain_order(events, window):
+    tracked = iter(plain_resets(events, window))
+    waiting, out = {}, []
+    for e in events:
+        event_id, fresh, over, frontier = next(tracked)
+        if over:
+            out.append((event_id, e["seq"]))
+        elif fresh:
+            waiting[e["seq"]] = event_id
+        for seq in sorted(x for x in waiting if x <= frontier):
+            out.append((waiting.pop(seq), seq))
+    return [(*x, i + 1) for i, x in enumerate(out)]
+
+
+def plain_drops(events, capacity):
+    held, out = [], []
+    for e in events:
+        if e["kind"] == "ACK":
+            held = [x for x in held if x > e["seq"]]
+        elif e["kind"] == "APPEND":
+            fits = len(held) < capacity
+            held += [e["seq"]] * fits
+            out.append((e["arrival"], e["seq"], "accepted" if fits else "gap", len(held)))
+    return out
+
+
+def plain_blocks(events, capacity, offer):
+    """Appends one after the other: each starts when it comes or the one before is decided, and ends by an ack or its offer."""
+    held, acks, out, free_at = [], [e for e in events if e["kind"] == "ACK"], [], -1
+    at = 0
+    for e in (e for e in events if e["kind"] == "APPEND"):
+        start = max(e["at_ms"], free_at)
+        while True:
+            while at < len(acks) and (acks[at]["at_ms"], acks[at]["arrival"]) < (start, e["arrival"] if start == e["at_ms"] else 10**9):
+                held = [x for x in held if x > acks[at]["seq"]]
+                at += 1
+            if len(held) < capacity or at == len(acks) or acks[at]["at_ms"] > max(e["at_ms"], free_at) + offer:
+                break
+            start = acks[at]["at_ms"]
+            held = [x for x in held if x > acks[at]["seq"]]
+            at += 1
+        fits = len(held) < capacity
+        free_at = start if fits else max(e["at_ms"], free_at) + offer
+        held += [e["seq"]] * fits
+        out.append((e["arrival"], e["seq"], "accepted" if fits else "gap", len(held)))
+    return out
+
+
+def plain_puts(events, capacity):
+    depth, out = 0, []
+    for e in events:
+        if e["kind"] == "TAKE":
+            depth -= depth > 0
+        else:
+            out.append((e["arrival"], e["seq"], "dropped" if depth >= capacity else "queued", min(capacity, depth + 1)))
+            depth = min(capacity, depth + 1)
+    return out
+
+
+def late(spark, sf_dir):
+    return [*q._late(spark, sf_dir).select("origin", "event_id", "seq", "arrival", "kind").collect()]
+
+
+@pytest.mark.parametrize("name", ["gap_reset", "strict_order_fold", "replay_drop_gap", "replay_block", "ingest_overflow", "slow_consumers_drop", "slow_consumers_grace"])
+def test_whole_queries_against_plain_loops(spark, sf_dir, name):
+    key = "conn_id" if name.startswith("slow") else "origin"
+    if name == "gap_reset":
+        rows = late(spark, sf_dir)
+        resets = [r for r in rows if r.event_id % 500 == 3]
+        rows += [type(r)(origin=r.origin, event_id=r.event_id, seq=r.seq + (-10 if r.event_id % 1000 == 3 else 20), arrival=r.arrival + 1, kind="RESET") for r in resets]
+        expected = {k: plain_resets(v, q.WINDOW) for k, v in by_key(rows, key, ("arrival", "kind")).items()}
+    elif name == "strict_order_fold":
+        expected = {k: plain_order(v, q.WINDOW) for k, v in by_key(late(spark, sf_dir), key, ("arrival",)).items()}
+    elif name.startswith("replay"):
+        groups = by_key(q._replay_events(spark, sf_dir).collect(), key, ("at_ms", "arrival"))
+        expected = {k: plain_drops(v, 8) if name == "replay_drop_gap" else plain_blocks(v, 8, 50) for k, v in groups.items()}
+    elif name == "ingest_overflow":
+        m = fx.sequenced(spark, sf_dir).selectExpr("origin", "event_id AS arrival", "CASE WHEN event_id % 3 = 0 THEN 'TAKE' ELSE 'PUT' END AS kind", "seq").collect()
+        expected = {k: plain_puts(v, 16) for k, v in by_key(m, key, ("arrival",)).items()}
+    else:
+        expected = {}
+        for k, v in by_key(q._queue_events(spark, sf_dir).collect(), key, ("arrival",)).items():
+            if name == "slow_consumers_drop":
+                waits, depth, out = [], 0, []
+                for e in v:
+                    due = [w for w in waits if e["kind"] == "END" or w[1] < e["at_ms"]]
+                    out += [(i, "dropped") for i, _ in due]
+                    waits = [w for w in waits if w not in due]
+                    if e["kind"] == "TAKE":
+                        depth -= depth > 0
+                    elif e["kind"] == "PUT":
+                        waits.append((e["arrival"], e["at_ms"] + q.OFFER_MS))
+                    if waits and depth < 8:
+                        out.append((waits.pop(0)[0], "enqueued"))
+                        depth += 1
+            else:
+                depth, began, out = 0, None, []
+                for e in (e for e in v if e["kind"] != "END"):
+                    if e["kind"] == "TAKE":
+                        depth -= depth > 0
+                        continue
+                    began = None if depth < 8 else e["at_ms"] if began is None else began
+                    keep = began is None or e["at_ms"] < began + q.OFFER_MS
+                    depth += keep
+                    out.append((e["arrival"], "enqueued" if keep else "dropped"))
+            expected[k] = out
+    found = sorted(tuple(r) for r in q.QUERIES[name](spark, sf_dir).collect())
+    assert found == sorted((k, *r) for k, rows in expected.items() for r in rows)
+    kinds = {r[-1] if name.startswith("slow") else r[3] for r in found}
+    assert len(kinds) > 1

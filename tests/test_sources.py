@@ -29,6 +29,32 @@ def test_rejects():
         framing.FrameReader().feed(b"\xff\xff\xff\xff")
 
 
+def test_frames_before_a_broken_length(spark, tmp_path):
+    good = [framing.frame(framing.encode_envelope({"kind": "subscribe", "topic": f"t{i}", "token": "k"})) for i in range(3)]
+    reader = framing.FrameReader()
+    assert len(reader.feed(b"".join(good) + b"\xff\xff\xff\xff")) == 3
+    with pytest.raises(framing.FrameError):
+        reader.feed(b"")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.bin").write_bytes(b"".join(good) + b"\xff\xff\xff\xff")
+    found = formats.read_frames(spark, f"file://{tmp_path}/in").orderBy("n").collect()
+    assert [r.topic for r in found] == ["t0", "t1", "t2", None] and found[3].error == "length -1"
+
+
+def test_stream_reads_late_names_once(tmp_path):
+    reader = formats.FrameReaderStream({"path": str(tmp_path)})
+    at = [reader.initialOffset()]
+    for name in ("m.bin", "z.bin", "a.bin"):
+        (tmp_path / name).write_bytes(b"")
+        import os
+        import time
+
+        os.utime(tmp_path / name, ns=(time.time_ns(), time.time_ns()))
+        at.append(reader.latestOffset())
+    assert [[os.path.basename(p.path) for p in reader.partitions(x, y)] for x, y in zip(at, at[1:], strict=False)] == [["m.bin"], ["z.bin"], ["a.bin"]]
+    assert reader.partitions(at[-1], reader.latestOffset()) == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=40), max_size=20), st.integers(1, 17))
 def test_partial_reads(payloads, step):

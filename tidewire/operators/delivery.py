@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators import folds
+
 #: A relation is broadcast by hint only when its optimizer size is known to be below this; Spark decides otherwise.
 SMALL_BYTES = 8 << 20
 
@@ -107,10 +109,8 @@ def peer_snapshot(links: DataFrame, frontiers: DataFrame, depths: DataFrame) ->
 
 
 def admitted(events: DataFrame, limit: int) -> DataFrame:
-    """Connections that open while fewer than `limit` are active (0: unlimited).
+    """Each OPEN of (listener, conn_id, at_ms, kind) with the number of active connections and if it is admitted (limit 0: all are).
 
-    Exact if rejected opens never close: the running count of opens less closes before the event decides.
+    What is rejected is never active, so each decision depends on those before it: an ordered fold per listener.
     """
-    change = F.when(F.col("kind") == "OPEN", 1).when(F.col("kind") == "CLOSE", -1).otherwise(0)
-    active = F.sum(change).over(Window.partitionBy("listener").orderBy("at_ms", "conn_id", "kind"))
-    return events.withColumn("active", active.cast("long")).where("kind = 'OPEN'").withColumn("admitted", F.lit(limit == 0) | (F.col("active") <= limit))
+    return folds.apply_fold(events, ["listener"], folds.admission(limit), "conn_id string, at_ms long, active long, admitted boolean", order=("at_ms", "conn_id", "kind"))

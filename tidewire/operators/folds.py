@@ -1,4 +1,4 @@
-"""Ordered folds that no window expresses: the same step functions serve batch (`applyInPandas`) and streams.
+"""Ordered folds that no window expresses: the same step functions serve batch (`mapInArrow`) and streams.
 
 A fold is a function from a state (a plain dict that pickles) and one event to the rows that it gives. Groups are
 keyed, and events are folded in the order of `arrival`.
@@ -7,10 +7,12 @@ keyed, and events are folded in the order of `arrival`.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 Step = Callable[[dict, dict], Iterable[tuple]]
 
@@ -78,7 +80,7 @@ def replay_buffer(capacity: int, policy: str = "DROP_GAP", offer_ms: int = 0) ->
     """A bounded buffer of appends and cumulative acks; gives (arrival, seq, outcome, depth) for each append decided.
 
     DROP_GAP drops the newest when full. BLOCK lets an append wait, in event time, until an ack frees a place or
-    offer_ms are over; later appends wait behind it.
+    offer_ms are over; later appends start after it, as one writer makes them all.
     """
 
     def step(state: dict, event: dict) -> Iterable[tuple]:
@@ -91,13 +93,15 @@ def replay_buffer(capacity: int, policy: str = "DROP_GAP", offer_ms: int = 0) ->
                 if len(ring) < capacity and now <= since + offer_ms:
                     ring.append(seq)
                     out.append((arrival, seq, "accepted", len(ring)))
+                    ended = now
                 elif now >= since + offer_ms:
                     out.append((arrival, seq, "gap", len(ring)))
-                    if len(waiting) > 1:  # the next one starts to wait when this one gives up
-                        waiting[1] = (*waiting[1][:2], max(waiting[1][2], since + offer_ms))
+                    ended = since + offer_ms
                 else:
                     return
                 waiting.pop(0)
+                if waiting:  # one writer: the next append starts when this one has ended
+                    waiting[0] = (*waiting[0][:2], max(waiting[0][2], ended))
 
         now = event["at_ms"]
         if policy == "BLOCK":
@@ -181,26 +185,85 @@ def membership(local: str | None = None) -> Step:
 
 
 def bounded_delivery(capacity: int, offer_ms: int, policy: str) -> Step:
-    """A client's queue under backpressure; gives (arrival, outcome): enqueued, dropped or disconnected."""
+    """A client's queue whose writers wait for a place; gives (arrival, outcome): enqueued, dropped or disconnected.
+
+    A PUT that finds the queue full waits, behind those that wait already, until a TAKE frees a place; one that has
+    waited longer than offer_ms is dropped (DROP_MESSAGE) or ends the connection (DISCONNECT_SLOW_CONSUMER), after which
+    nothing is given. END lets all that still wait run out.
+    """
 
     def step(state: dict, event: dict) -> Iterable[tuple]:
+        waiting, now, out = state.setdefault("waiting", []), event["at_ms"], []
         if state.get("closed"):
             return []
+        while waiting and (event["kind"] == "END" or waiting[0][1] + offer_ms < now):
+            arrival, _ = waiting.pop(0)
+            if policy != "DROP_MESSAGE":
+                state["closed"] = True
+                return [*out, (arrival, "disconnected")]
+            out.append((arrival, "dropped"))
+        depth = state.get("depth", 0)
+        if event["kind"] == "TAKE" and waiting:
+            out.append((waiting.pop(0)[0], "enqueued"))  # its place is taken at once
+        elif event["kind"] == "TAKE":
+            state["depth"] = max(0, depth - 1)
+        elif event["kind"] == "PUT" and depth < capacity and not waiting:
+            state["depth"] = depth + 1
+            out.append((event["arrival"], "enqueued"))
+        elif event["kind"] == "PUT":
+            waiting.append((event["arrival"], now))
+        return out
+
+    return step
+
+
+def grace_delivery(capacity: int, offer_ms: int, policy: str) -> Step:
+    """A client's queue whose writers never wait; gives (arrival, outcome) as bounded_delivery does.
+
+    The capacity is a soft one: the first PUT at or over it starts a timer, and until offer_ms are over all are enqueued.
+    From then on they are dropped, or the first one ends the connection. A PUT that finds the queue under its capacity
+    stops the timer.
+    """
+
+    def step(state: dict, event: dict) -> Iterable[tuple]:
         depth = state.get("depth", 0)
+        if state.get("closed") or event["kind"] == "END":
+            return []
         if event["kind"] == "TAKE":
             state["depth"] = max(0, depth - 1)
-            state.pop("full_since", None)
             return []
         if depth < capacity:
-            state["depth"] = depth + 1
-            return [(event["arrival"], "enqueued")]
-        since = state.setdefault("full_since", event["at_ms"])
-        if policy == "DROP_MESSAGE":
-            return [(event["arrival"], "dropped")]
-        if event["at_ms"] - since >= offer_ms:
-            state["closed"] = True
-            return [(event["arrival"], "disconnected")]
-        return [(event["arrival"], "dropped")]
+            state["since"] = None
+        elif state.get("since") is None:
+            state["since"] = event["at_ms"]
+        if depth >= capacity and event["at_ms"] - state["since"] >= offer_ms:
+            state["closed"] = policy != "DROP_MESSAGE"
+            return [(event["arrival"], "disconnected" if state["closed"] else "dropped")]
+        state["depth"] = depth + 1
+        return [(event["arrival"], "enqueued")]
+
+    return step
+
+
+def admission(limit: int) -> Step:
+    """Connections of a listener; gives (conn_id, at_ms, active, admitted) for each OPEN.
+
+    An OPEN is admitted while fewer than `limit` are active (0: always); active counts it in. One that is rejected is
+    never active, so its CLOSE, or any of a connection that isn't active, changes nothing.
+    """
+
+    def step(state: dict, event: dict) -> Iterable[tuple]:
+        held, conn = state.setdefault("held", {}), event["conn_id"]
+        if event["kind"] == "CLOSE" and held.get(conn):
+            held[conn] -= 1
+            state["active"] -= 1
+        if event["kind"] != "OPEN":
+            return []
+        active = state.get("active", 0) + 1
+        admitted = limit == 0 or active <= limit
+        if admitted:
+            held[conn], state["active"] = held.get(conn, 0) + 1, active
+        return [(conn, event["at_ms"], active, admitted)]
 
     return step
 
@@ -214,16 +277,23 @@ def fold(events: Iterable[dict], step: Step) -> list[tuple]:
 def apply_fold(df: DataFrame, keys: list[str], step: Step, schema: str, *, order: tuple[str, ...] = ("arrival",)) -> DataFrame:
     """Fold each key's rows. schema: the columns of the rows that the step gives.
 
-    A key's rows are folded by one task, as the order of one key is serial by nature; keys spread over the tasks.
+    A key's rows are folded by one task, as the order of one key is serial by nature; keys spread over the tasks. Rows
+    stream through in batches, sorted by Spark (which spills): a task holds one batch and the state of one key.
     """
-    columns = [c.strip().split()[0] for c in schema.split(",")]
-    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        rows = fold(group.sort_values(list(order), kind="stable").to_dict("records"), step)
-        out = pd.DataFrame(rows, columns=columns, dtype=object)
-        for i, k in enumerate(keys):
-            out.insert(i, k, key[i])
-        return out
-
-    return df.groupBy(*keys).applyInPandas(run, f"{types}, {schema}")
+    types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    full = f"{types}, {schema}"
+    fields = to_arrow_schema(T.StructType.fromDDL(full))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, {}
+        for batch in batches:
+            out = []
+            for event in batch.to_pylist():
+                key = tuple(event[k] for k in keys)
+                if key != current:
+                    current, state = key, {}
+                out += [(*key, *row) for row in step(state, event)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, full)

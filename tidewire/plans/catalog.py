@@ -83,9 +83,13 @@ def demux_client(s, d):
     return delivery.demultiplex(fx.messages(s, d).select("event_id", F.expr(KIND).alias("kind")), delivery.CLIENT_ARMS, reject=True)
 
 
-@query(f"WITH k AS (SELECT event_id, {KIND} AS kind FROM events) SELECT event_id, kind, kind AS arm FROM k WHERE kind = 'gap'")
+CLUSTER_KINDS_SENT = ("hello", "publish", "ack", "resume", "gap", "interest", "interest_sync", "ping", "ping_ack", "ping_req", "join", "join_ack", "leave", "heartbeat", "subscribe", "later_kind")
+
+
+@query(f"WITH k AS (SELECT event_id, {list(CLUSTER_KINDS_SENT)}[1 + event_id % 16] AS kind FROM events) SELECT event_id, kind, kind AS arm FROM k WHERE kind NOT IN ('subscribe', 'later_kind')")
 def demux_cluster(s, d):
-    return delivery.demultiplex(fx.messages(s, d).select("event_id", F.expr(KIND).alias("kind")), delivery.CLUSTER_ARMS, reject=False)
+    kind = F.element_at(F.array(*map(F.lit, CLUSTER_KINDS_SENT)), (F.col("event_id") % 16 + 1).cast("int"))
+    return delivery.demultiplex(fx.messages(s, d).select("event_id", kind.alias("kind")), delivery.CLUSTER_ARMS, reject=False)
 
 
 @query("WITH r AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'bad' WHEN event_id % 11 = 0 THEN NULL ELSE 'key' END AS secret FROM events) SELECT event_id, secret, coalesce(secret = 'key', false) AS accepted, CASE WHEN secret = 'key' THEN 'tok' END AS token FROM r")
@@ -118,12 +122,22 @@ def envelopes(s, d):
     return e.select("event_id", kind.alias("kind"), F.when(~even, c.json_row(F.col("event_type").alias("topic"))).alias("subscribe"))
 
 
-ADMIT = fx.values("conn_log", fx.CONN_COLUMNS, fx.CONN_LOG)
+MOST_ACTIVE = 6
+ADMIT = """RECURSIVE log AS (SELECT user_id % 8 AS listener, 'u' || CAST(user_id AS VARCHAR) AS conn_id, event_id AS at_ms, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'OPEN' ELSE 'CLOSE' END AS kind,
+  row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS n FROM events),
+held AS (SELECT DISTINCT listener, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS conns, CAST(NULL AS VARCHAR) AS conn_id, CAST(NULL AS BIGINT) AS at_ms, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS active FROM log
+  UNION ALL SELECT l.listener, l.n, CASE WHEN l.kind = 'OPEN' AND len(conns) < 6 THEN list_append(conns, l.conn_id)
+    WHEN l.kind = 'CLOSE' AND list_contains(conns, l.conn_id) THEN list_concat(conns[:list_position(conns, l.conn_id) - 1], conns[list_position(conns, l.conn_id) + 1:]) ELSE conns END,
+    l.conn_id, l.at_ms, l.kind, CAST(len(conns) + 1 AS BIGINT) FROM held h JOIN log l ON l.listener = h.listener AND l.n = h.n + 1)"""
 
 
-@query(f"WITH {ADMIT}, r AS (SELECT *, CAST(sum(CASE kind WHEN 'OPEN' THEN 1 WHEN 'CLOSE' THEN -1 ELSE 0 END) OVER (ORDER BY at_ms, conn_id, kind) AS BIGINT) AS active FROM conn_log) SELECT conn_id, CAST(at_ms AS BIGINT) AS at_ms, active, active <= 6 AS admitted FROM r WHERE kind = 'OPEN'")
+@query(f"WITH {ADMIT} SELECT listener, conn_id, at_ms, active, active <= {MOST_ACTIVE} AS admitted FROM held WHERE kind = 'OPEN'")
 def admission(s, d):
-    return delivery.admitted(fx.conn_log(s).withColumn("listener", F.lit(0)), 6).select("conn_id", "at_ms", "active", "admitted")
+    """Every event opens or closes a connection of its user; many opens are rejected, and some of those are closed."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    kind = F.when(F.col("event_type").isin("click", "view", "purchase"), "OPEN").otherwise("CLOSE")
+    log = e.select((F.col("user_id") % 8).alias("listener"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("conn_id"), F.col("event_id").alias("at_ms"), kind.alias("kind"))
+    return delivery.admitted(log, MOST_ACTIVE)
 
 
 # --- fan-out and routing
@@ -394,9 +408,11 @@ def active_gauge(s, d):
     return metrics.floored_gauge(fx.messages(s, d).withColumn("change", F.expr(CHANGE)), ["conn_id"], ["event_id"], "change").select("event_id", "conn_id", "gauge")
 
 
-@query(f"WITH {MESSAGES} SELECT origin, max(strlen(data)) AS deepest FROM messages GROUP BY origin")
+@query(f"WITH {MESSAGES}, p AS (SELECT conn_id, event_id, sum({CHANGE}) OVER (PARTITION BY conn_id ORDER BY event_id) AS s FROM messages), q AS (SELECT a.conn_id, a.event_id, max(a.s - b.s) AS depth FROM p a JOIN (SELECT * FROM p UNION ALL SELECT DISTINCT conn_id, -1, 0 FROM p) b ON a.conn_id = b.conn_id AND b.event_id <= a.event_id GROUP BY ALL) SELECT conn_id, CAST(max(depth) AS BIGINT) AS deepest FROM q GROUP BY conn_id")
 def max_depth(s, d):
-    return fx.messages(s, d).groupBy("origin").agg(F.max(F.octet_length("data").cast("long")).alias("deepest"))
+    """The deepest that each connection's queue was; a take from an empty queue leaves it empty."""
+    depth = metrics.floored_gauge(fx.messages(s, d).withColumn("change", F.expr(CHANGE)), ["conn_id"], ["event_id"], "change")
+    return depth.groupBy("conn_id").agg(F.max("gauge").alias("deepest"))
 
 
 @query(f"WITH {ARRIVALS}, {FIRST} SELECT origin, CAST(sum(CASE WHEN event_id % 4 = 0 THEN -1 ELSE 1 END) AS BIGINT) AS depth FROM first GROUP BY origin")

@@ -137,11 +137,6 @@ MEMBER_LOG = [
 ]
 MEMBER_COLUMNS = "arrival, node, state, incarnation, at_ms"
 
-#: conn_id, at_ms, kind
-CONN_LOG = [(f"k{c}", 1000 * c + 700 * i * i, "OPEN" if i == 0 else "CLOSE" if i == 4 else "BYTES") for c in range(1, 9) for i in range(5)]
-CONN_COLUMNS = "conn_id, at_ms, kind"
-
-
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(list(x) if isinstance(x, tuple) else x for x in r) for r in rows], schema)
 
@@ -152,7 +147,3 @@ def interest_log(spark: SparkSession) -> DataFrame:
 
 def member_log(spark: SparkSession) -> DataFrame:
     return literal(spark, MEMBER_LOG, "arrival long, node string, state string, incarnation long, at_ms long")
-
-
-def conn_log(spark: SparkSession) -> DataFrame:
-    return literal(spark, CONN_LOG, "conn_id string, at_ms long, kind string")

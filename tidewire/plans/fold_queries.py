@@ -73,9 +73,27 @@ def member_transitions(s, d):
     return member_fold(s, d).groupBy("transition").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _queue_events(s, d):
+    """Three of four messages are put into their connection's queue, one takes from it."""
+    m = fx.messages(s, d)
+    events = m.select("conn_id", F.col("event_id").alias("arrival"), F.when(F.col("event_id") % 4 == 0, "TAKE").otherwise("PUT").alias("kind"), F.col("ts_ms").alias("at_ms"))
+    end = m.groupBy("conn_id").agg((F.max("event_id") + 1).alias("arrival"), F.lit("END").alias("kind"), F.max("ts_ms").alias("at_ms"))
+    return events.unionByName(end)
+
+
+OUTCOME, OFFER_MS = "arrival long, outcome string", 20_000_000
+
+
 def slow_consumers(s, d):
-    m = fx.messages(s, d).select("conn_id", F.col("event_id").alias("arrival"), F.when(F.col("event_id") % 4 == 0, "TAKE").otherwise("PUT").alias("kind"), F.col("ts_ms").alias("at_ms"))
-    return folds.apply_fold(m, ["conn_id"], folds.bounded_delivery(8, 20000000, "DISCONNECT_SLOW_CONSUMER"), "arrival long, outcome string")
+    return folds.apply_fold(_queue_events(s, d), ["conn_id"], folds.bounded_delivery(8, OFFER_MS, "DISCONNECT_SLOW_CONSUMER"), OUTCOME)
+
+
+def slow_consumers_drop(s, d):
+    return folds.apply_fold(_queue_events(s, d), ["conn_id"], folds.bounded_delivery(8, OFFER_MS, "DROP_MESSAGE"), OUTCOME)
+
+
+def slow_consumers_grace(s, d):
+    return folds.apply_fold(_queue_events(s, d), ["conn_id"], folds.grace_delivery(8, OFFER_MS, "DROP_MESSAGE"), OUTCOME)
 
 
 def probe_sample(s, d):
@@ -84,4 +102,4 @@ def probe_sample(s, d):
     return state.sampled(members, 3, 7).withColumn("role", F.lit("helper")).unionByName(state.sampled(members, 1, 8).withColumn("role", F.lit("target")))
 
 
-QUERIES = {f.__name__: f for f in (window_overrun, gap_reset, strict_order_fold, replay_drop_gap, replay_block, ingest_overflow, member_fold, self_refute, member_transitions, slow_consumers, probe_sample)}
+QUERIES = {f.__name__: f for f in (window_overrun, gap_reset, strict_order_fold, replay_drop_gap, replay_block, ingest_overflow, member_fold, self_refute, member_transitions, slow_consumers, slow_consumers_drop, slow_consumers_grace, probe_sample)}

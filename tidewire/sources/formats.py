@@ -22,12 +22,13 @@ SCHEMA = "path string, n long, kind string, topic string, source string, token s
 
 def decoded(path: str, raw: bytes, most: int) -> Iterator[tuple]:
     """Rows of one file's frames; a broken length ends the file with an error row, a broken envelope gives one and goes on."""
-    reader = FrameReader(most)
+    reader, payloads, broken, n = FrameReader(most), [], None, 0
     try:
-        payloads, broken = reader.feed(raw), "cut frame" if reader.rest else None
+        payloads = reader.feed(raw)
+        reader.feed(b"")  # raises if a broken length follows
+        broken = "cut frame" if reader.rest else None
     except FrameError as e:
-        payloads, broken = [], str(e)
-    n = 0
+        broken = str(e)
     for n, payload in enumerate(payloads, 1):
         try:
             m = decode_envelope(payload, most)
@@ -112,20 +113,31 @@ class FrameReaderBatch(DataSourceReader):
             yield from decoded(partition.path, f.read(), self.most)
 
 
+def _arrived(folder: str) -> list[tuple[int, str]]:
+    """(time of change in nanoseconds, path) of the folder's files, in that order."""
+    return sorted((os.stat(p).st_mtime_ns, p) for p in _files(folder))
+
+
 class FrameReaderStream(DataSourceStreamReader):
-    """Files in the order of their names, one task each; the offset is how many are done. New files sort after old ones."""
+    """Files in the order of their change, one task each; the offset is the last one's time and path.
+
+    A file that comes later sorts after those that were read, whatever its name; files are moved into the folder when
+    they are complete, by the clock of one file system.
+    """
 
     def __init__(self, options: dict) -> None:
         self.folder, self.most = options["path"], int(options.get("maxFrame", 1 << 20))
 
     def initialOffset(self) -> dict:
-        return {"files": 0}
+        return {"changed": -1, "path": ""}
 
     def latestOffset(self) -> dict:
-        return {"files": len(_files(self.folder))}
+        files = _arrived(self.folder)
+        return {"changed": files[-1][0], "path": files[-1][1]} if files else self.initialOffset()
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_File(p) for p in _files(self.folder)[start["files"] : end["files"]]]
+        first, last = (start["changed"], start["path"]), (end["changed"], end["path"])
+        return [_File(p) for at, p in _arrived(self.folder) if first < (at, p) <= last]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with open(partition.path, "rb") as f:

@@ -108,7 +108,10 @@ def frame(payload: bytes) -> bytes:
 
 
 class FrameReader:
-    """Frames from reads of any size; what is left of the last one waits for more."""
+    """Frames from reads of any size; what is left of the last one waits for more.
+
+    Frames before a broken length are given first; the next call raises.
+    """
 
     def __init__(self, most: int = 1 << 20) -> None:
         self.most, self.rest = most, b""
@@ -119,6 +122,8 @@ class FrameReader:
         while len(self.rest) - at >= 4:
             (n,) = struct.unpack_from(">i", self.rest, at)
             if n < 0 or n > self.most:
+                if out:
+                    break
                 raise FrameError(f"length {n}")
             if len(self.rest) - at - 4 < n:
                 break
