@@ -131,3 +131,31 @@ def test_cluster_round_trip():
     with pytest.raises(framing.FrameError):
         cluster.decode_envelope(b"\xff" * 4)
     assert len(cluster.ARMS) == 17
+
+
+def test_stream_sink(spark, tmp_path):
+    formats.register(spark)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.bin").write_bytes(b"".join(framing.frame(framing.encode_envelope({"kind": "publish_inbound", "topic": f"t{i}", "source": "s", "token": "k", "data": b"x" * i})) for i in range(150)))
+    stream = spark.readStream.format("frames").load(str(tmp_path / "in")).select("kind", "topic", "source", "token", "data")
+    query = stream.writeStream.format("frames").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    back = spark.read.format("frames").load(str(tmp_path / "out"))
+    assert {(r.topic, len(r.data)) for r in back.collect()} == {(f"t{i}", i) for i in range(150)} and back.count() == 150
+
+
+def test_two_sources_and_their_union(spark, tmp_path):
+    from tidewire.sources import cluster
+
+    (tmp_path / "links").mkdir()
+    acks = [{"kind": "ack", "acker_node_id": "n1", "acks": [{"origin_node_id": "n2", "origin_epoch": 5, "acked_seq": i}]} for i in range(4)]
+    raw = b"".join(framing.frame(cluster.encode_envelope(m)) for m in [*acks, {"kind": "publish", "topic": "x", "data": b"y"}])
+    (tmp_path / "links" / "n1.bin").write_bytes(raw + framing.frame(b"\xff\xff") + b"\xff\xff\xff\xff")
+    rows = formats.read_links(spark, f"file://{tmp_path}/links").orderBy("n").collect()
+    assert [r.kind for r in rows] == ["ack"] * 4 + ["publish", None, None] and rows[5].error and rows[6].error
+    assert [r.acks[0].acked_seq for r in rows[:4]] == [0, 1, 2, 3] and rows[4].data == b"y" and rows[4].acks is None
+    (tmp_path / "clients").mkdir()
+    (tmp_path / "clients" / "c.bin").write_bytes(framing.frame(framing.encode_envelope({"kind": "publish_inbound", "topic": "x", "data": b"z"})))
+    both = formats.read_frames(spark, f"file://{tmp_path}/clients").unionByName(formats.read_links(spark, f"file://{tmp_path}/links"), allowMissingColumns=True)
+    assert sorted(bytes(r.data) for r in both.where("topic = 'x'").collect()) == [b"y", b"z"]

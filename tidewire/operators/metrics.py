@@ -18,6 +18,46 @@ CLUSTER_METRICS = (
 )
 
 
+#: Fixed kinds of the event log and the fields of each, in their order.
+EVENT_FIELDS = {
+    "join": ("nodeId", "incarnation", "host", "port"),
+    "leave": ("nodeId", "incarnation"),
+    "peer-connected": ("nodeId", "host", "port"),
+    "peer-disconnected": ("nodeId",),
+    "backfill-completed": ("nodeId", "messages", "fromLinkSeq"),
+    "reaped": ("nodeId",),
+    "suspect": ("nodeId", "incarnation"),
+    "reconnect": ("nodeId", "host", "port", "backoffMs"),
+    "heartbeat-timeout": ("nodeId",),
+    "queue-full": ("nodeId", "dropped"),
+    "handshake-auth-failure": ("remote",),
+    "refute": ("refutedState", "newIncarnation"),
+    "gap": ("nodeId", "firstAvailableSeq"),
+    "dead": ("nodeId", "incarnation"),
+    "data-loss": ("nodeId", "resyncContiguousLinkSeq"),
+}
+
+
+def names() -> tuple[str, ...]:
+    """All names of the flat snapshot; those of the cluster have a prefix."""
+    return (*NODE_METRICS, *(f"cluster_{n}" for n in CLUSTER_METRICS))
+
+
+def snapshot(found: DataFrame) -> DataFrame:
+    """(name, value) of every metric from those that were found; nothing found is 0, other names are left out."""
+    every = found.sparkSession.createDataFrame([(n,) for n in names()], "name string")
+    return every.join(found.groupBy("name").agg(F.sum("value").alias("value")), "name", "left").select("name", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
+
+
+def event_lines(events: DataFrame, fields: dict[str, tuple[str, ...]] = EVENT_FIELDS) -> DataFrame:
+    """key=value lines of events of known kinds, each with the fields of its kind only; fields that are null are left out."""
+    line = F.lit(None).cast("string")
+    for kind, own in fields.items():
+        parts = [F.lit(f"event={kind}"), *(F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in own)]
+        line = F.when(F.col("event") == kind, F.concat_ws(" ", *parts)).otherwise(line)
+    return events.withColumn("line", line).where(F.col("line").isNotNull())
+
+
 def counters(events: DataFrame, kinds: dict[str, str], by: str | None = None) -> DataFrame:
     """One count per name: rows for which the SQL condition holds."""
     grouped = events.groupBy(by) if by else events.groupBy()
@@ -36,12 +76,6 @@ def prometheus(metrics: DataFrame, prefix: str = "stream_") -> DataFrame:
     return metrics.select("name", F.concat(F.lit("# TYPE "), name, F.lit(" gauge\n"), name, F.lit(" "), F.col("value").cast("string"), F.lit("\n")).alias("text"))
 
 
-def event_line(events: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """key=value lines: event first, then the fields that aren't null."""
-    parts = [F.concat(F.lit("event="), F.col("event"))] + [F.when(F.col(f).isNotNull(), F.concat(F.lit(f"{f}="), F.col(f).cast("string"))) for f in fields]
-    return events.withColumn("line", F.concat_ws(" ", *parts))
-
-
 def floored_gauge(events: DataFrame, keys: list[str], order: list[str], change: str) -> DataFrame:
     """A running sum that never falls below 0: the sum less the least sum so far, as far as that is below 0."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -11,6 +11,7 @@ from tidewire.functions import columns as c
 from tidewire.operators import delivery, metrics, sequencing, state
 from tidewire.plans import fixtures as fx
 from tidewire.plans.fixtures import ARRIVALS, INTEREST, MESSAGES, SUBSCRIPTIONS, TOKEN
+from tidewire.sources import cluster, formats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -445,13 +446,18 @@ def metrics_json(s, d):
     return _flat(s, d).select(c.json_row(F.col("name"), F.col("value")).alias("json"))
 
 
-EVENTS = [("join", "n1", 100, "h1", 7000, None), ("suspect", "n1", 100, None, None, None), ("dead", "n2", 3, None, None, None), ("reaped", "n2", None, None, None, None), ("gap", "n3", None, None, None, 41), ("peer-connected", "n4", None, "h4", 7001, None)]
+EVENT_VALUES = {"nodeId": "'n' || CAST(user_id % 9 AS VARCHAR)", "incarnation": "event_id", "host": "'h' || CAST(user_id AS VARCHAR)", "port": "7000 + user_id % 9", "messages": "event_id % 100", "fromLinkSeq": "event_id + 1", "backoffMs": "250", "dropped": "event_type", "remote": "'r' || CAST(user_id AS VARCHAR)", "refutedState": "'SUSPECT'", "newIncarnation": "event_id + 2", "firstAvailableSeq": "CASE WHEN event_id % 2 = 0 THEN event_id END", "resyncContiguousLinkSeq": "event_id - 1"}
+EVENT_KINDS = [*metrics.EVENT_FIELDS, "unknown"]
 
 
-@query(f"WITH {fx.values('e', 'event, nodeId, incarnation, host, port, firstAvailableSeq', EVENTS)} SELECT event, concat_ws(' ', 'event=' || event, 'nodeId=' || nodeId, 'incarnation=' || incarnation, 'host=' || host, 'port=' || port, 'firstAvailableSeq=' || firstAvailableSeq) AS line FROM e")
+@query(f"WITH e AS (SELECT event_id, {EVENT_KINDS}[1 + event_id % {len(EVENT_KINDS)}] AS event, {', '.join(f'{v} AS {k}' for k, v in EVENT_VALUES.items())} FROM events), "
+       "f AS (SELECT event_id, event, unnest([0, 1, 2, 3]) AS i FROM e), p AS (SELECT e.event_id, e.event, i, CASE " + " ".join(f"WHEN e.event = '{kind}' AND i = {i} THEN '{x}=' || CAST({x} AS VARCHAR)" for kind, own in metrics.EVENT_FIELDS.items() for i, x in enumerate(own)) + " END AS x FROM e JOIN f ON e.event_id = f.event_id) "
+       "SELECT event_id, event, 'event=' || event || coalesce(' ' || string_agg(x, ' ' ORDER BY i), '') AS line FROM p WHERE event <> 'unknown' GROUP BY event_id, event")
 def event_log(s, d):
-    e = fx.literal(s, EVENTS, "event string, nodeId string, incarnation long, host string, port int, firstAvailableSeq long")
-    return metrics.event_line(e, ("nodeId", "incarnation", "host", "port", "firstAvailableSeq")).select("event", "line")
+    e = s.read.parquet(f"{d}/events.parquet")
+    event = F.element_at(F.array(*map(F.lit, EVENT_KINDS)), (F.col("event_id") % len(EVENT_KINDS) + 1).cast("int"))
+    values = [F.expr(v.replace("VARCHAR", "STRING")).alias(k) for k, v in EVENT_VALUES.items()]
+    return metrics.event_lines(e.select("event_id", event.alias("event"), *values)).select("event_id", "event", "line")
 
 
 FROM_MS, TO_MS = 1704500000000, 1705500000000
@@ -519,3 +525,69 @@ def seed_lists(s, d):
 def payload_timestamp(s, d):
     data = F.expr("CASE event_id % 3 WHEN 0 THEN CAST(event_id * 1000 AS STRING) || ':xxx' WHEN 1 THEN ':bad' ELSE 'no:' END")
     return s.read.parquet(f"{d}/events.parquet").select("event_id", c.payload_nanos(data).alias("nanos"))
+
+
+# --- the cluster plane and the whole snapshot
+
+
+ARM_FIELDS = {kind: [x.split(":") for x in cluster.MESSAGES[kind].split()] for kind in cluster.ARMS}
+PLAIN = sorted({(name, kind) for own in ARM_FIELDS.values() for name, kind in own if kind in "sib"})
+PLAIN_VALUES = {"s": "'{0}' || CAST(event_id % 7 AS VARCHAR)", "i": "event_id * {1}", "b": "encode(props)"}
+
+
+def _plain(name: str, kind: str) -> str:
+    return PLAIN_VALUES[kind].format(name, 1 + len(name))
+
+
+@query(f"WITH k AS (SELECT event_id, props, {list(cluster.ARMS)}[1 + event_id % {len(cluster.ARMS)}] AS kind FROM events) SELECT event_id, kind, " + ", ".join(f"CASE WHEN kind IN ({', '.join(repr(a) for a, own in ARM_FIELDS.items() if [n, t] in own)}) THEN {_plain(n, t)} END AS {n}" for n, t in PLAIN) + " FROM k")
+def cluster_round_trip(s, d):
+    """Messages of all arms, encoded to envelopes and decoded again: each has the fields of its arm only."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    kind = F.element_at(F.array(*map(F.lit, cluster.ARMS)), (F.col("event_id") % len(cluster.ARMS) + 1).cast("int"))
+    values = [F.expr(_plain(n, t).replace("VARCHAR", "STRING").replace("encode(props)", "encode(props, 'UTF-8')")).alias(n) for n, t in PLAIN]
+    decoded = formats.decode_cluster(formats.encode_cluster(e.select("event_id", kind.alias("kind"), *values)).select("event_id", "frame"))
+    return decoded.select("event_id", "kind", *[n for n, _ in PLAIN])
+
+
+#: Of each metric that the fixtures have: the query that it sums up, and how, in SQL that both engines share.
+SNAPSHOT = {
+    "messagesPublished": ("reject_invalid", "count(*)"),
+    "messagesDelivered": ("fanout", "count(*)"),
+    "totalConnectionsAccepted": ("admission", "count_if(admitted)"),
+    "connectionsRejected": ("admission", "count_if(NOT admitted)"),
+    "subscriptionCount": ("subscriber_count", "sum(subscribers)"),
+    "maxOutboundQueueDepth": ("max_depth", "max(deepest)"),
+    "cluster_messagesForwarded": ("route_interest", "count(*)"),
+    "cluster_messagesReceived": ("cluster_counters", "max(cluster_messagesReceived)"),
+    "cluster_messagesDeduped": ("cluster_counters", "max(cluster_messagesDeduped)"),
+    "cluster_activePeerLinks": ("link_seq", "count(DISTINCT concat(origin, '>', node))"),
+    "cluster_replayBufferDepth": ("replay_depth", "sum(depth)"),
+    "cluster_gapEvents": ("gaps", "count(*)"),
+    "cluster_acksSent": ("ack_advanced", "count(*)"),
+    "cluster_acksReceived": ("demux_cluster", "count_if(arm = 'ack')"),
+    "cluster_interestUpdatesSent": ("interest_edges", "count(*)"),
+    "cluster_interestUpdatesReceived": ("interest_accepted", "count(*)"),
+    "cluster_interestRoutedSkipped": ("routed_skipped", "count(*)"),
+    "cluster_routingTableTopicCount": ("routing_snapshot", "count(*)"),
+    "cluster_membersAlive": ("member_counts", "sum(CASE WHEN state = 'alive' THEN members ELSE 0 END)"),
+    "cluster_membersSuspect": ("member_counts", "sum(CASE WHEN state = 'suspect' THEN members ELSE 0 END)"),
+    "cluster_membersDead": ("member_counts", "sum(CASE WHEN state = 'dead' THEN members ELSE 0 END)"),
+    "cluster_joinEvents": ("demux_cluster", "count_if(arm = 'join')"),
+    "cluster_leaveEvents": ("demux_cluster", "count_if(arm = 'leave')"),
+    "cluster_suspectEvents": ("event_log", "count_if(event = 'suspect')"),
+    "cluster_deadEvents": ("event_log", "count_if(event = 'dead')"),
+    "cluster_handshakeAuthFailures": ("event_log", "count_if(event = 'handshake-auth-failure')"),
+    "cluster_indirectProbesSent": ("probe_timeouts", "count(*)"),
+    "cluster_gossipMessagesReceived": ("demux_cluster", "count_if(arm IN ('ping', 'ping_ack', 'ping_req', 'join_ack'))"),
+}
+
+
+@query("WITH " + ", ".join(f"s{i} AS (SELECT '{n}' AS name, CAST({how} AS BIGINT) AS value FROM ({ORACLE_SQL[q]}))" for i, (n, (q, how)) in enumerate(SNAPSHOT.items()))
+       + ", found AS (" + " UNION ALL ".join(f"FROM s{i}" for i in range(len(SNAPSHOT))) + f"), names(name) AS (VALUES {', '.join(f'({n!r})' for n in metrics.names())}) SELECT name, coalesce(value, 0) AS value FROM names LEFT JOIN found USING (name)")
+def metrics_snapshot(s, d):
+    """All 36 metrics at once; those of which the fixtures have nothing are 0."""
+    parts = [QUERIES[q](s, d).selectExpr(f"'{n}' AS name", f"cast({how} AS bigint) AS value") for n, (q, how) in SNAPSHOT.items()]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return metrics.snapshot(found)
