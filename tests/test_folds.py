@@ -9,6 +9,14 @@ from tidewire.plans import fixtures as fx
 from tidewire.plans import fold_queries as q
 
 
+@pytest.fixture(autouse=True)
+def small(monkeypatch, request):
+    """Parameters that the small fixtures reach the end of."""
+    slow = "slow" in request.node.name
+    for name, value in (("WINDOW", 64), ("RING", 8), ("QUEUE", 8 if slow else 16), ("OFFER_MS", 20_000_000 if slow else 50)):
+        monkeypatch.setattr(q, name, value)
+
+
 def msgs(*seqs):
     return [{"event_id": i, "seq": s, "kind": "MSG", "arrival": i} for i, s in enumerate(seqs)]
 

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import folds, state
 from tidewire.plans import fixtures as fx
+from tidewire.sources.options import StreamOptions
 
-#: A small window, so that the small fixtures reach its end.
-WINDOW = 64
+_DEFAULTS = StreamOptions()
+#: The parameters in production; tests set smaller ones, which the small fixtures reach the end of.
+WINDOW, RING, QUEUE, OFFER_MS = _DEFAULTS.window, _DEFAULTS.replay_capacity, _DEFAULTS.queue_capacity, _DEFAULTS.offer_timeout_ms
 
 
 def _late(s, d):
@@ -42,16 +44,16 @@ REPLAY = "arrival long, seq long, outcome string, depth long"
 
 
 def replay_drop_gap(s, d):
-    return folds.apply_fold(_replay_events(s, d), ["origin"], folds.replay_buffer(8), REPLAY, order=("at_ms", "arrival"))
+    return folds.apply_fold(_replay_events(s, d), ["origin"], folds.replay_buffer(RING), REPLAY, order=("at_ms", "arrival"))
 
 
 def replay_block(s, d):
-    return folds.apply_fold(_replay_events(s, d), ["origin"], folds.replay_buffer(8, "BLOCK", 50), REPLAY, order=("at_ms", "arrival"))
+    return folds.apply_fold(_replay_events(s, d), ["origin"], folds.replay_buffer(RING, "BLOCK", OFFER_MS), REPLAY, order=("at_ms", "arrival"))
 
 
 def ingest_overflow(s, d):
     m = fx.sequenced(s, d).select("origin", F.col("event_id").alias("arrival"), F.when(F.col("event_id") % 3 == 0, "TAKE").otherwise("PUT").alias("kind"), "seq")
-    return folds.apply_fold(m, ["origin"], folds.ingest_queue(16), REPLAY)
+    return folds.apply_fold(m, ["origin"], folds.ingest_queue(QUEUE), REPLAY)
 
 
 MEMBER = "arrival long, before string, after string, incarnation long, transition string, refuted_with long"
@@ -81,19 +83,19 @@ def _queue_events(s, d):
     return events.unionByName(end)
 
 
-OUTCOME, OFFER_MS = "arrival long, outcome string", 20_000_000
+OUTCOME = "arrival long, outcome string"
 
 
 def slow_consumers(s, d):
-    return folds.apply_fold(_queue_events(s, d), ["conn_id"], folds.bounded_delivery(8, OFFER_MS, "DISCONNECT_SLOW_CONSUMER"), OUTCOME)
+    return folds.apply_fold(_queue_events(s, d), ["conn_id"], folds.bounded_delivery(QUEUE, OFFER_MS, "DISCONNECT_SLOW_CONSUMER"), OUTCOME)
 
 
 def slow_consumers_drop(s, d):
-    return folds.apply_fold(_queue_events(s, d), ["conn_id"], folds.bounded_delivery(8, OFFER_MS, "DROP_MESSAGE"), OUTCOME)
+    return folds.apply_fold(_queue_events(s, d), ["conn_id"], folds.bounded_delivery(QUEUE, OFFER_MS, "DROP_MESSAGE"), OUTCOME)
 
 
 def slow_consumers_grace(s, d):
-    return folds.apply_fold(_queue_events(s, d), ["conn_id"], folds.grace_delivery(8, OFFER_MS, "DROP_MESSAGE"), OUTCOME)
+    return folds.apply_fold(_queue_events(s, d), ["conn_id"], folds.grace_delivery(QUEUE, OFFER_MS, "DROP_MESSAGE"), OUTCOME)
 
 
 def probe_sample(s, d):
