@@ -373,7 +373,7 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     total = chunks.agg(F.sum("size")).first()[0] or 0
     bits = max(0, (max(parts, -(-total // BUCKET)) - 1).bit_length())
     keys = chunks.select("chunk_id", "docs", "offsets", "raw").mapInArrow(_send_keys(bits), "bucket long, chunk_id long, keys binary")
-    marks = keys.repartition(max(parts, 1 << bits), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "chunk_id long, bucket long, bits binary, n long")
+    marks = keys.repartitionById(1 << bits, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_shared, "chunk_id long, bucket long, bits binary, n long")
     marks = staged(marks, "marks")
     shared = marks.agg(F.sum("n")).first()[0] or 0
     marks = marks.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
