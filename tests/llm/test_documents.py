@@ -173,6 +173,15 @@ def test_interval_expansion(seed):
         assert w.tolist() == [low[t[j : j + 8]] for j in range(len(t) - 7)]
 
 
+def test_run_keys_spread_over_buckets():
+    """The buckets of keys are of one size, whatever their number."""
+    rng = np.random.default_rng(5)
+    raw = rng.integers(97, 123, 400_000).astype(np.uint8)
+    key, doc, _, _ = substring_dedup.runs(raw, np.arange(0, len(raw) + 1, 1000))
+    held = np.diff(substring_dedup._bounds(substring_dedup.chunk_keys(key, doc)[0], 6))
+    assert held.max() < 1.5 * held.mean() and held.min() > 0.5 * held.mean()
+
+
 # --- 4
 
 

@@ -73,7 +73,8 @@ def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     parts = -(-count // LONGEST_RUN)
     row, place = ragged(parts)
     start = start[row] + place * LONGEST_RUN
-    return g[start], doc[row], start, np.minimum(count[row] - place * LONGEST_RUN, LONGEST_RUN)
+    # least hashes crowd near 0; keys are dealt by their leading bits, so they are scattered once more
+    return mix64(g[start]), doc[row], start, np.minimum(count[row] - place * LONGEST_RUN, LONGEST_RUN)
 
 
 def chunk_keys(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
