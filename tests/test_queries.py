@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from tidewire.operators import sequencing
 from tidewire.plans import registry
 
 
@@ -41,6 +42,14 @@ def test_same_rows(spark, sf_dir, db, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(columns, cursor.fetchall())
 
 
+@pytest.mark.parametrize("name", ["origin_seq", "link_seq", "frontier", "gaps", "strict_order"])
+def test_same_rows_by_ranges(spark, sf_dir, db, name, monkeypatch):
+    """The plans of large inputs, with ranges that the small ones cross."""
+    monkeypatch.setattr(sequencing, "ONE_TASK", -1)
+    monkeypatch.setattr(sequencing, "SPAN", 100)
+    test_same_rows(spark, sf_dir, db, name)
+
+
 def test_every_query_is_callable():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert all(callable(q) for q in registry.QUERIES.values())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.operators import folds
+from tidewire.operators import folds, sequencing
 
 #: A relation is broadcast by hint only when its optimizer size is known to be below this; Spark decides otherwise.
 SMALL_BYTES = 8 << 20
@@ -99,8 +99,7 @@ def route_with_grace(messages: DataFrame, interest: DataFrame, peers: DataFrame,
 
 def link_sequence(routed: DataFrame) -> DataFrame:
     """A dense sequence per sender and target over the rows that are routed."""
-    w = Window.partitionBy("origin", "node").orderBy("seq")
-    return routed.withColumn("link_seq", F.row_number().over(w).cast("long"))
+    return sequencing.number(routed, ["origin", "node"], ["seq"], "link_seq", sequencing.SPAN)
 
 
 def peer_snapshot(links: DataFrame, frontiers: DataFrame, depths: DataFrame) -> DataFrame:

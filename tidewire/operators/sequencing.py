@@ -6,15 +6,48 @@ is a whole window ahead of the frontier (see `folds` for the exact fold).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """A dense sequence from 1 per key."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+#: Values of the ordering column in a range; a task sorts the rows of one key and one range.
+SPAN = 1 << 20
+#: Up to so many bytes of input, a key of any share is sorted in one task, which spares the pass that counts ranges.
+ONE_TASK = 256 << 20
+
+
+def _fits_one_task(df: DataFrame) -> bool:
+    """If the tables that df reads are known to be small; those of unknown size count as large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) <= ONE_TASK
+
+
+def _carried(df: DataFrame, keys: Sequence[str], by: str, span: int, value: Column, carry: Callable[[WindowSpec], Column]) -> DataFrame:
+    """df with `_range`, the range of `by` (nulls first), and `_carry`, found over one row `_v` = value per key and range."""
+    ranged = df.withColumn("_range", F.coalesce(F.expr(f"`{by}` div {span}"), F.lit(-(1 << 63))))
+    per = ranged.groupBy(*keys, "_range").agg(value.alias("_v"))
+    names = {k: f"_key{i}" for i, k in enumerate([*keys, "_range"])}
+    found = per.withColumn("_carry", carry(Window.partitionBy(*keys).orderBy("_range"))).select(*[F.col(k).alias(n) for k, n in names.items()], "_carry")
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return ranged.join(found, reduce(and_, same)).drop(*names.values())
+
+
+def number(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, span: int | None = None) -> DataFrame:
+    """A dense sequence from 1 per key.
+
+    With a span, keys may be too large for one task: unless the input is small, the first ordering column, of whole
+    numbers, is cut into ranges of so many values, rows are numbered within their range, and the counts of the ranges
+    before are added. The numbers are the same either way if the order has no ties.
+    """
+    if span is None or _fits_one_task(df):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    before = _carried(df, keys, order[0], span, F.count(F.lit(1)), lambda w: F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return before.withColumn(name, (place + F.coalesce("_carry", F.lit(0))).cast("long")).drop("_range", "_carry")
 
 
 def deduplicate(df: DataFrame, identity: Sequence[str], arrival: str = "arrival") -> DataFrame:
@@ -25,15 +58,19 @@ def deduplicate(df: DataFrame, identity: Sequence[str], arrival: str = "arrival"
 
 def frontiers(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
     """Per key the end of the island of sequences that starts at 1, or 0."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    held = df.select(*keys, seq).distinct().withColumn("_n", F.row_number().over(w))
+    held = number(df.select(*keys, seq).distinct(), keys, [seq], "_n", SPAN)
     return held.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col(seq) == F.col("_n"), F.col(seq))), F.lit(0)).cast("long").alias("frontier"))
 
 
 def gaps(df: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
     """Missing ranges between the sequences that are there."""
-    w = Window.partitionBy(*keys).orderBy(seq)
-    held = df.select(*keys, seq).distinct().withColumn("_next", F.lead(seq).over(w))
+    held = df.select(*keys, seq).distinct()
+    if _fits_one_task(df):
+        held = held.withColumn("_next", F.lead(seq).over(Window.partitionBy(*keys).orderBy(seq)))
+    else:
+        held = _carried(held, keys, seq, SPAN, F.min(seq), lambda w: F.lead("_v").over(w))
+        within = F.lead(seq).over(Window.partitionBy(*keys, "_range").orderBy(seq))
+        held = held.withColumn("_next", F.coalesce(within, "_carry"))
     return held.where(F.col("_next") - F.col(seq) > 1).select(*keys, (F.col(seq) + 1).alias("gap_from"), (F.col("_next") - 1).alias("gap_to"))
 
 
@@ -41,7 +78,7 @@ def in_order(df: DataFrame, keys: Sequence[str], seq: str = "seq", arrival: str
     """Distinct messages up to the frontier, with the place at which strict ordering delivers them."""
     first = deduplicate(df, [*keys, seq], arrival)
     held = first.join(frontiers(first, keys, seq), list(keys)).where(F.col(seq) <= F.col("frontier")).drop("frontier")
-    return number(held, keys, [seq], "position")
+    return number(held, keys, [seq], "position", SPAN)
 
 
 def evict_acked(buffer: DataFrame, acks: DataFrame, key: str, seq: str = "seq") -> DataFrame:
@@ -86,8 +123,4 @@ def running_frontier(df: DataFrame, keys: Sequence[str], seq: str = "seq", arriv
 
 def batches(df: DataFrame, keys: Sequence[str], order: Sequence[str], most: int = 64) -> DataFrame:
     """The write batch of each row: at most so many rows go out together."""
-    return number(df, keys, order, "_n").withColumn("batch", F.ceil(F.col("_n") / F.lit(most)).cast("long")).drop("_n")
-
-
-def identity() -> list[Column]:
-    return [F.col("origin"), F.col("epoch"), F.col("seq")]
+    return number(df, keys, order, "_n", SPAN).withColumn("batch", F.ceil(F.col("_n") / F.lit(most)).cast("long")).drop("_n")

@@ -258,7 +258,7 @@ def strict_order(s, d):
 
 @query(f"WITH {ARRIVALS}, {FIRST} SELECT event_id, origin, row_number() OVER (PARTITION BY origin ORDER BY arrival) AS position FROM first")
 def arrival_order(s, d):
-    return sequencing.number(sequencing.deduplicate(fx.arrivals(s, d), ["origin", "epoch", "seq"]), ["origin"], ["arrival"], "position").select("event_id", "origin", "position")
+    return sequencing.number(sequencing.deduplicate(fx.arrivals(s, d), ["origin", "epoch", "seq"]), ["origin"], ["arrival"], "position", sequencing.SPAN).select("event_id", "origin", "position")
 
 
 @query(f"WITH {ARRIVALS}, {FIRST}, a AS (SELECT origin, max(seq) AS acked FROM first WHERE event_id % 13 = 0 GROUP BY 1) SELECT f.origin, seq FROM first f LEFT JOIN a ON f.origin = a.origin WHERE seq > coalesce(acked, 0)")

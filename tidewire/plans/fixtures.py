@@ -35,9 +35,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewire.operators.sequencing import number
+    from tidewire.operators.sequencing import SPAN, number
 
-    return number(messages(spark, sf_dir), ["origin", "epoch"], ["event_id"], "seq")
+    return number(messages(spark, sf_dir), ["origin", "epoch"], ["event_id"], "seq", SPAN)
 
 
 def arrivals(spark: SparkSession, sf_dir: str, *, late: bool = False) -> DataFrame:
@@ -60,8 +60,7 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topic, node: which nodes want a topic."""
-    rows = [(t, f"node-{n}") for i, t in enumerate(TOPICS) for n in (1, 2, 3) if (i + n) % 3 != 0]
-    return spark.createDataFrame(rows, "topic string, node string")
+    return spark.sql(f"WITH {INTEREST} SELECT topic, node FROM interest")
 
 
 MESSAGES = f"""raw_messages AS (
