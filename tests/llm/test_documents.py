@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tidewire.llm import lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, queries, secrets, substring_dedup
@@ -173,6 +174,20 @@ def test_interval_expansion(seed):
         assert w.tolist() == [low[t[j : j + 8]] for j in range(len(t) - 7)]
 
 
+def test_texts_alone_with_their_key_are_not_expanded(monkeypatch):
+    rng = np.random.default_rng(5)
+    inner = [bytes(rng.integers(97, 123, 60, np.uint8)) for _ in range(4)]
+    edges = [inner[0][:10] + inner[1], inner[2][:10] + inner[1]]
+    texts, low, tag = [*inner, *edges], np.array([4, 7, 1, 9, 3, 2]), np.array([10, 11, 12, 13, 11, 11])
+    whole, expanded = substring_dedup.least_documents(texts, low), []
+    plain = substring_dedup.least_windows
+    monkeypatch.setattr(substring_dedup, "least_windows", lambda t, d: expanded.extend(t) or plain(t, d))
+    lengths, values, n_runs, first_run = substring_dedup.found_runs(pa.array(texts, pa.binary()), low, tag)
+    assert sorted(expanded) == sorted([inner[1], *edges])
+    for w, n, a in zip(whole, n_runs, first_run, strict=True):
+        assert np.repeat(values[a : a + n], lengths[a : a + n]).tolist() == w.tolist()
+
+
 def test_run_keys_spread_over_buckets():
     """The buckets of keys are of one size, whatever their number."""
     rng = np.random.default_rng(5)
