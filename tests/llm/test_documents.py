@@ -550,6 +550,21 @@ def test_near_copies(docs_of, odd, documents, small, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("collected", [1 << 17, 0])
+def test_components_of_few_and_many_links(spark, collected, monkeypatch):
+    """Few links take no stages of stars; either way a chain, a ring and a star get their least members."""
+    monkeypatch.setattr(near_dedup, "MOST_COLLECTED", collected)
+    tables, plain = [], near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, name="stage": tables.append(name) or plain(df, name))
+    rng = np.random.default_rng(2)
+    chain, ring, star = (100 * k + rng.permutation(40) for k in (1, 2, 3))
+    links = [*zip(chain, chain[1:]), *zip(ring, np.roll(ring, 1)), *((star[0], x) for x in star[1:]), (7, 7 + (1 << 40)), (chain[3], chain[9])]
+    got = near_dedup.components(spark.createDataFrame([(int(a), int(b)) for a, b in links], "a long, b long")).collect()
+    want = {**{int(x): int(g.min()) for g in (chain, ring, star) for x in g}, 7: 7, 7 + (1 << 40): 7}
+    assert len(got) == len(want) and {r.uid: r.root for r in got} == want
+    assert bool(tables) == (not collected)
+
+
 @pytest.mark.parametrize("deep", [12, 2])
 def test_chains_from_a_large_group(docs_of, deep, monkeypatch):
     """Hub, D and E: similar from one to the next only. The group spans many blocks, in which few have met E."""

@@ -35,6 +35,8 @@ MOST_SHINGLES = 4 << 20
 DEEP = 12
 #: So many row numbers may be broadcast to select texts (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: So many links (16 bytes each) are joined to components at once in the driver; more by stars over staged tables.
+MOST_COLLECTED = 1 << 17
 
 _RNG = np.random.Generator(np.random.PCG64(75))
 _A = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -292,8 +294,33 @@ def find_links(sets: DataFrame, reps: DataFrame) -> DataFrame:
         nodes = rest.where(~last).join(signed.select("uid", "sig"), "uid").select("key", "uid", "sig").mapInArrow(_branch(level), "key long, uid long")
 
 
+def least_connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) for every node of the links a, b; root is the smallest node of its component."""
+    node, ends = np.unique(np.append(a, b), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(node))
+    while len(a):
+        # roots that links join point to the least of them, then every node to its last root
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return node, node[root]
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(uid, root) for every node of the links; root is the smallest uid of its component."""
+    """(uid, root) for every node of the links; root is the smallest uid of its component.
+
+    Few links are joined in the driver, which spares some twenty stages; the table that comes of it is below 5 MB.
+    """
+    links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    if links.count() <= MOST_COLLECTED:
+        held = links.toArrow()
+        uid, root = least_connected(*[np.asarray(held[c], np.int64) for c in ("a", "b")])
+        return F.broadcast(links.sparkSession.createDataFrame(pa.table({"uid": pa.array(uid, pa.int64()), "root": pa.array(root, pa.int64())})))
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
         # large star: every neighbour above u points to the least of u and its neighbours
