@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tidewire.operators import sequencing
+from tidewire.operators import delivery, sequencing
 from tidewire.plans import registry
 
 
@@ -50,6 +50,21 @@ def test_same_rows_by_ranges(spark, sf_dir, db, name, monkeypatch):
     test_same_rows(spark, sf_dir, db, name)
 
 
+def test_snapshot_builds_no_deliveries(spark, sf_dir, monkeypatch):
+    """The snapshot counts deliveries by topic, as their rows grow with messages times subscriptions."""
+    want = {r["name"]: r["value"] for r in registry.QUERIES["metrics_snapshot"](spark, sf_dir).collect()}
+    assert want["messagesDelivered"] == registry.QUERIES["fanout"](spark, sf_dir).count() > 0
+    monkeypatch.setattr(delivery, "fan_out", None)
+    assert {r["name"]: r["value"] for r in registry.QUERIES["metrics_snapshot"](spark, sf_dir).collect()} == want
+
+
+def test_delivery_counts_of_odd_rows(spark):
+    messages = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "topic string")
+    subscribed = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "b"), (3, "d"), (4, None)], "client_id long, topic string")
+    for m in (messages, messages.where("topic = 'c'")):
+        assert delivery.fan_out_count(m, subscribed).first()[0] == delivery.fan_out(m, subscribed).count()
+
+
 def test_every_query_is_callable():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert all(callable(q) for q in registry.QUERIES.values())
