@@ -580,6 +580,30 @@ def test_chains_from_a_large_group(docs_of, deep, monkeypatch):
     assert len(got) == len(rows) and {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("n", [50, 200])
+def test_large_mixed_groups(docs_of, n, monkeypatch):
+    """Texts that share a passage but are alike in pairs only: a group of bounded size takes no further level."""
+    monkeypatch.setattr(near_dedup, "SMALL", 16)
+    tables, plain = [], near_dedup.staged
+    monkeypatch.setattr(near_dedup, "staged", lambda df, name="stage": tables.append(name) or plain(df, name))
+    common = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, *(f"own{i // 2}x{k}" for k in range(40)), f"last{i}"])) for i in range(n)]
+    got = near_dedup.near_duplicates(docs_of(rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+    assert "links-1" in tables and ("nodes-1" in tables) == (n == 200)
+
+
+@pytest.mark.parametrize("most", [1 << 22, 300])
+def test_units_of_many_shingles(docs_of, most, monkeypatch):
+    """Units that hold more shingles than a task may still compare all of their pairs, however few select the texts."""
+    monkeypatch.setattr(near_dedup, "MOST_SHINGLES", most)
+    monkeypatch.setattr(near_dedup, "MOST_BROADCAST", 10 if most == 300 else 1_000_000)
+    chain = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*(f"z{k}" for k in range(4 * i)), *chain[4 * i :]])) for i in range(12)]
+    got = near_dedup.near_duplicates(docs_of(rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+
+
 def test_near_copies_edges(docs_of):
     assert near_dedup.near_duplicates(docs_of([])).collect() == []
     kept = near_dedup.keep_first(docs_of([(2, "a b c d e f"), (2, "a b c d e f"), (1, "A b c d e f"), (3, None), (4, "")], extra=True)).collect()

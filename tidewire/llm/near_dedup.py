@@ -4,9 +4,9 @@ Each text's set of 5-word shingles gets a signature of minwise tokens. Equal set
 are never compared. In each of several independent trees, documents branch by the minwise tokens at chosen coordinates
 (one or two per node, 1/threshold on average): documents that agree there meet in a child node. A node of at most
 SMALL documents is compared exhaustively. A larger node is compared in random blocks of that size first. If all its
-documents are in one component by then, it has nothing left to find. If few are outside of its largest component, these
-are compared with all of it. Otherwise all of its documents branch again; nodes that are still large and mixed after
-DEEP levels are compared whole. Signatures only propose: every link is confirmed on the full sets. Units compare by
+documents are in one component by then, it has nothing left to find. If few are outside of its largest component, or
+that makes a bounded number of pairs, these are compared with all of it. Otherwise all of its documents branch again;
+nodes that are still large and mixed after DEEP levels are compared whole. Signatures only propose: every link is confirmed on the full sets. Units compare by
 sketches, one byte for each token of the signature; the tokens themselves are only read to branch.
 
 No pairs are listed within a group: a comparison unit gives a spanning forest of its confirmed links. Links become
@@ -33,6 +33,9 @@ COORDINATES, TREES, SMALL, AGREE = 64, 8, 1024, 33
 MOST_SHINGLES = 4 << 20
 #: Levels after which a large node of several components is compared whole, which grows with the square of its size.
 DEEP = 12
+#: A large node is compared whole at once if that makes so many times the pairs of two small ones at most: comparing up
+#: to some 4,096 documents takes less than the jobs of another level.
+WHOLE = 16
 #: So many row numbers may be broadcast to select texts (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: So many links (16 bytes each) are joined to components at once in the driver; more by stars over staged tables.
@@ -165,7 +168,8 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = np.flatnonzero(label == x)
             if len(part) > 1:
                 name = int(np.bitwise_xor.reduce(mix64(uid[part].astype(np.uint64))).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), *[pa.array(x[part]) for x in (uid, root, size)]], ["unit", "uid", "root", "n_shingles"])
+                whole = [pa.array(np.full(len(part), x, np.int64)) for x in (name, len(part), size[part].sum())]
+                yield pa.RecordBatch.from_arrays([whole[0], *[pa.array(x[part]) for x in (uid, root, size)], *whole[1:]], ["unit", "uid", "root", "n_shingles", "n", "held"])
 
 
 class Sets:
@@ -218,23 +222,25 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bounded(units: DataFrame) -> DataFrame:
     """Units (unit, uid, root, n_shingles) of which none holds more than about MOST_SHINGLES, or two documents, but all pairs of the given ones.
 
-    A larger unit is dealt into blocks of half that; each pair of blocks becomes a unit.
+    These have the unit's documents and shingles besides (n, held). A larger unit is dealt into blocks of half that;
+    each pair of blocks becomes a unit.
     """
-    sized = units.groupBy("unit").agg(F.sum("n_shingles").alias("held"), F.count(F.lit(1)).alias("n")).where(F.col("held") > MOST_SHINGLES)
-    heavy = units.join(sized, "unit").withColumn("blocks", F.least("n", F.ceil(2 * F.col("held") / MOST_SHINGLES)))
+    light, heavy = units.where(F.col("held") <= MOST_SHINGLES), units.where(F.col("held") > MOST_SHINGLES)
+    heavy = heavy.withColumn("blocks", F.least("n", F.ceil(2 * F.col("held") / MOST_SHINGLES)))
     heavy = heavy.withColumn("own", F.pmod(F.xxhash64("uid", "unit"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pairs = heavy.select(F.xxhash64("unit", F.least("own", "other"), F.greatest("own", "other")).alias("unit"), "uid", "root", "n_shingles")
-    return units.join(sized, "unit", "left_anti").unionByName(pairs)
+    return light.select("unit", "uid", "root", "n_shingles").unionByName(pairs)
 
 
 def _links(units: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (a, b) of comparison units (unit, uid, root). The texts come from sets, where they stand once."""
     parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = units.join(signed.select("uid", "n_shingles", "sketch"), "uid").repartition(parts, "unit").sortWithinPartitions("unit")
-    kept = staged(met.select("unit", "uid", "root", "n_shingles", "sketch").mapInArrow(_propose, "unit long, uid long, root long, n_shingles long").distinct(), "units")
-    wanted = kept.select("uid").distinct()
+    kept = staged(met.select("unit", "uid", "root", "n_shingles", "sketch").mapInArrow(_propose, "unit long, uid long, root long, n_shingles long, n long, held long").distinct(), "units")
+    wanted = kept.select("uid")
     texts = sets.select("uid", "sketch", "text")
-    if wanted.count() <= MOST_BROADCAST:
+    # rows of a staged table are counted without a shuffle; only many of them are worth one
+    if kept.count() <= MOST_BROADCAST or (wanted := wanted.distinct()).count() <= MOST_BROADCAST:
         texts = texts.join(F.broadcast(wanted), "uid", "left_semi")
     full = _bounded(kept).join(texts, "uid").select("unit", "uid", "root", "n_shingles", "sketch", "text")
     return full.repartition(parts, "unit").sortWithinPartitions("unit").mapInArrow(_confirm, "a long, b long")
@@ -265,17 +271,24 @@ def find_links(sets: DataFrame, reps: DataFrame) -> DataFrame:
     ends = roots = None
     level = 0
     while True:
-        sized = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        nodes = staged(nodes.join(sized, "key"), f"nodes-{level}")
-        block = F.pmod(F.xxhash64("uid", "key"), F.ceil(F.col("n") / SMALL))
-        units = nodes.select(F.when(F.col("n") > SMALL, F.xxhash64("key", block)).otherwise(F.col("key")).alias("unit"), "uid")
-        if ends is None:
+        if nodes is None:
+            units = ends
+        else:
+            sized = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            nodes = staged(nodes.join(sized, "key"), f"nodes-{level}")
+            block = F.pmod(F.xxhash64("uid", "key"), F.ceil(F.col("n") / SMALL))
+            units = nodes.select(F.when(F.col("n") > SMALL, F.xxhash64("key", block)).otherwise(F.col("key")).alias("unit"), "uid")
+            if ends is not None:
+                units = units.unionByName(ends)
+        if roots is None:
             units = units.withColumn("root", F.col("uid"))
         else:
-            units = units.unionByName(ends).join(roots, "uid", "left").select("unit", "uid", F.coalesce("root", "uid").alias("root"))
+            units = units.join(roots, "uid", "left").select("unit", "uid", F.coalesce("root", "uid").alias("root"))
         links = staged(_links(units, signed, sets), f"links-{level}")
         if roots is not None:
             links = links.unionByName(roots.select(F.col("uid").alias("a"), F.col("root").alias("b")))
+        if nodes is None:
+            return links
         big = nodes.where(F.col("n") > SMALL)
         if big.isEmpty():
             return links
@@ -284,14 +297,19 @@ def find_links(sets: DataFrame, reps: DataFrame) -> DataFrame:
         # a large node ends when one component holds all of it, or all but few; other large nodes branch with all documents
         rooted = staged(big.join(roots, "uid", "left").select("key", "uid", "n", F.coalesce("root", "uid").alias("root")), f"rooted-{level}")
         held = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n"))
-        mixed = staged(held.groupBy("key").agg(F.max(F.struct("held", "root")).alias("top"), F.first("n").alias("n")).where("top.held < n").select("key", F.col("top.held").alias("most"), F.col("top.root").alias("top")), f"mixed-{level}")
-        several = mixed.count()
+        top = held.groupBy("key").agg(F.max(F.struct("held", "root")).alias("top"), F.first("n").alias("n")).where("top.held < n")
+        outside = F.col("n") - F.col("top.held")
+        last = (outside <= SMALL // 2) | (outside * F.col("n") <= WHOLE * SMALL * SMALL) | F.lit(level >= DEEP)
+        mixed = staged(top.select("key", F.col("top.held").alias("most"), F.col("top.root").alias("top"), last.alias("last")), f"mixed-{level}")
+        several, ending = mixed.agg(F.count(F.lit(1)), F.count(F.when(F.col("last"), 1))).first()
         if not several:
             return links
         rest = rooted.join(F.broadcast(mixed) if several <= MOST_BROADCAST else mixed, "key")
-        last = (F.col("n") - F.col("most") <= SMALL // 2) | F.lit(level >= DEEP)
-        ends = _whole(rest.where(last).select("key", "uid", (F.col("root") == F.col("top")).alias("inside"), "most", "n"))
-        nodes = rest.where(~last).join(signed.select("uid", "sig"), "uid").select("key", "uid", "sig").mapInArrow(_branch(level), "key long, uid long")
+        ends = nodes = None
+        if ending:
+            ends = _whole(rest.where("last").select("key", "uid", (F.col("root") == F.col("top")).alias("inside"), "most", "n"))
+        if ending < several:
+            nodes = rest.where("not last").join(signed.select("uid", "sig"), "uid").select("key", "uid", "sig").mapInArrow(_branch(level), "key long, uid long")
 
 
 def least_connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
