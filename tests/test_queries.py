@@ -50,6 +50,43 @@ def test_same_rows_by_ranges(spark, sf_dir, db, name, monkeypatch):
     test_same_rows(spark, sf_dir, db, name)
 
 
+@pytest.mark.parametrize("name", ["fanout", "fanout_temporal", "all_deliveries"])
+def test_same_rows_by_blocks(spark, sf_dir, db, name, monkeypatch):
+    """Blocks and chunks of which the small inputs have several."""
+    monkeypatch.setattr(delivery, "BLOCK", 1)
+    monkeypatch.setattr(delivery, "CHUNK_BYTES", 256)
+    test_same_rows(spark, sf_dir, db, name)
+
+
+@pytest.mark.parametrize("block", [256, 1])
+def test_fan_out_of_odd_rows(spark, block, monkeypatch):
+    """Repeated and null rows, windows that overlap or are open, columns of any name and type: as plain loops have it."""
+    monkeypatch.setattr(delivery, "BLOCK", block)
+    sent = [("a", 5, {"k": 1}, "x"), ("a", 5, {"k": 1}, "x"), ("b", 7, None, None), (None, 5, None, "z"), ("c", 1, {}, "w"), ("a", None, {}, "v")]
+    held = [(1, "a", 0, 6), (1, "a", 0, 6), (1, "a", 5, 9), (2, "a", 6, 9), (None, "b", 7, 8), (3, "d", 0, 9), (4, None, 0, 9), (5, "a", None, 9), (6, "b", 0, 7), (7, "a", 5, 5)]
+    m = spark.createDataFrame(sent, "topic string, ts_ms long, props map<string,int>, `odd.name` string")
+    s = spark.createDataFrame(held, "client_id long, topic string, from_ms long, to_ms long")
+    row = lambda t, ts, p, o, c: (t, ts, p, o, c)
+    every = [row(*x, c) for x in sent for c, t in {(c, t) for c, t, *_ in held} if t is not None and t == x[0]]
+    now = [row(*x, c) for x in sent for c, t, a, b in set(held) if t is not None and t == x[0] and None not in (x[1], a, b) and a <= x[1] < b]
+    for got, want in ((delivery.fan_out(m, s), every), (delivery.fan_out_current(m, s), now)):
+        assert got.columns == ["topic", "ts_ms", "props", "odd.name", "client_id"]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) != []
+    assert delivery.fan_out(m.limit(0), s).collect() == delivery.fan_out_current(m, s.limit(0)).collect() == []
+
+
+def test_fan_out_takes_little_room(spark, tmp_path):
+    """Many clients of each topic, messages of all topics in turn and in one file: below a byte a row, by several tasks."""
+    spark.range(2000).selectExpr("id AS event_id", "concat('t', id % 5) AS topic", "1000 + id AS ts_ms").coalesce(1).write.parquet(f"{tmp_path}/m")
+    subs = spark.range(15_000).selectExpr("id AS client_id", "concat('t', id % 5) AS topic", "id % 4 AS from_ms", "9999L AS to_ms")
+    m = spark.read.parquet(f"{tmp_path}/m")
+    for k, df in enumerate((delivery.fan_out(m, subs), delivery.fan_out_current(m, subs))):
+        df.select("event_id", "client_id").write.parquet(f"{tmp_path}/{k}")
+        files = [p.stat().st_size for p in (tmp_path / str(k)).glob("*.parquet")]
+        assert spark.read.parquet(f"{tmp_path}/{k}").count() == 2000 * 3_000
+        assert len(files) > 1 and sum(files) < 2000 * 3_000
+
+
 def test_snapshot_builds_no_deliveries(spark, sf_dir, monkeypatch):
     """The snapshot counts deliveries by topic, as their rows grow with messages times subscriptions."""
     want = {r["name"]: r["value"] for r in registry.QUERIES["metrics_snapshot"](spark, sf_dir).collect()}
