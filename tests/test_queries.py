@@ -58,6 +58,13 @@ def test_same_rows_by_blocks(spark, sf_dir, db, name, monkeypatch):
     test_same_rows(spark, sf_dir, db, name)
 
 
+@pytest.mark.parametrize("name", ["fanout", "fanout_temporal", "all_deliveries"])
+def test_same_rows_by_bands(spark, sf_dir, db, name, monkeypatch):
+    """Several bands of blocks per topic."""
+    monkeypatch.setattr(delivery, "BAND", 2)
+    test_same_rows_by_blocks(spark, sf_dir, db, name, monkeypatch)
+
+
 @pytest.mark.parametrize("block", [256, 1])
 def test_fan_out_of_odd_rows(spark, block, monkeypatch):
     """Repeated and null rows, windows that overlap or are open, columns of any name and type: as plain loops have it."""
@@ -87,6 +94,26 @@ def test_fan_out_takes_little_room(spark, tmp_path):
         assert len(files) > 1 and sum(files) < 2000 * 3_000
 
 
+def most_generated(plan):
+    """The largest number of rows that a generator of the plan has made."""
+    own = [plan.metrics().apply("numOutputRows").value()] if plan.nodeName() == "Generate" else []
+    return max([*own, *[most_generated(plan.children().apply(k)) for k in range(plan.children().size())]], default=0)
+
+
+def test_fan_out_holds_few_rows(spark):
+    """A row is handed on before more are made than those of one message and block, however many its chunk and its clients make."""
+    m = spark.range(4000).selectExpr("id AS event_id", "'t' AS topic", "id AS ts_ms")
+    subs = spark.range(3000).selectExpr("id AS client_id", "'t' AS topic", "0L AS from_ms", "9999L AS to_ms")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (delivery.fan_out(m, subs), delivery.fan_out_current(m, subs)):
+            one = df.limit(1)
+            assert len(one.collect()) == 1
+            assert 0 < most_generated(one._jdf.queryExecution().executedPlan()) < 2 * delivery.BLOCK
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_snapshot_builds_no_deliveries(spark, sf_dir, monkeypatch):
     """The snapshot counts deliveries by topic, as their rows grow with messages times subscriptions."""
     want = {r["name"]: r["value"] for r in registry.QUERIES["metrics_snapshot"](spark, sf_dir).collect()}
